@@ -1,3 +1,549 @@
-"""Every registered query with its DuckDB twin."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Every registered query with its DuckDB twin. Results are plain columns in the same names and types on both sides."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import status as st
+from ..functions import text as tx
+from ..functions import urls
+from ..operators import documents as dx
+from ..operators import frontier as fr
+from ..operators import search as se
+from ..sources import rules as ru
+from ..sources import web
+from . import tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+NOW = f"TIMESTAMP '{t.NOW_TEXT}'"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def stamp(c: Column | str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def sql_stamp(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+# ---- search
+
+QUERY = se.SearchParams("the of and", limit=20)
+FILTERED = se.SearchParams("the of", limit=20, lang="EN ", freshness_days=30)
+SITE = se.SearchParams("the", limit=20, site="https://src1.example.com/")
+
+
+def search_sql(p: se.SearchParams, where: str = "true", clauses: tuple[str, ...] = ("all", "phrase", "address"), final: str | None = None) -> str:
+    """The documented ranking formula as SQL."""
+    terms = ", ".join(f"'{x}'" for x in p.terms)
+    fields = " UNION ALL ".join(f"SELECT id, '{f}' AS field, regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM docs" for f in se.FIELDS)
+    boosts = " ".join(f"WHEN '{f}' THEN {b}" for f, b in se.ALL_TERMS.items())
+    phrase = " " + " ".join(p.terms)
+    hits = ", ".join(f"CASE WHEN contains(' ' || array_to_string(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+'), ' '), '{phrase}') THEN {b} ELSE 0.0 END" for f, b in se.PHRASE.items())
+    parts = {
+        "all": f"SELECT id, max(s) AS score FROM (SELECT id, field, count(*) AS k, sum(score) * CASE field {boosts} END AS s FROM scored WHERE field <> 'display_url' GROUP BY id, field) WHERE k = {len(p.terms)} GROUP BY id",
+        "phrase": f"SELECT id, score FROM (SELECT id, greatest({hits})::DOUBLE AS score FROM docs) WHERE score > 0",
+        "address": f"SELECT id, sum(score) * {se.ADDRESS} AS score FROM scored WHERE field = 'display_url' GROUP BY id",
+    }
+    final = final or f"""SELECT id, round(score, 6) AS score, title, canonical_url, {sql_stamp('fetched_at')} AS fetched_at FROM ranked
+        ORDER BY round(score, 6) DESC, ranked.fetched_at DESC, id LIMIT {p.limit} OFFSET {p.offset}"""
+    return f"""WITH {t.DOCS}, f AS ({fields}), stats AS (SELECT field, count(*) AS n, avg(len(tokens)) AS avgdl FROM f WHERE len(tokens) > 0 GROUP BY field),
+    posts AS (SELECT field, term, id, dl, count(*) AS tf FROM (SELECT id, field, len(tokens) AS dl, unnest(tokens) AS term FROM f) WHERE term IN ({terms}) GROUP BY ALL),
+    df AS (SELECT field, term, count(*) AS df FROM posts GROUP BY ALL),
+    scored AS (SELECT id, field, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * {se.K1 + 1} / (tf + {se.K1} * (1 - {se.B} + {se.B} * dl / avgdl))) AS score FROM posts JOIN df USING (field, term) JOIN stats USING (field)),
+    total AS (SELECT id, sum(score) AS text_score FROM ({' UNION ALL '.join(parts[c] for c in clauses)}) GROUP BY id),
+    ranked AS (SELECT docs.*, text_score * exp(ln(0.3) / 60.0 * greatest(0.0, abs(epoch({NOW}) - epoch(fetched_at)) / 86400.0 - 7.0)) AS score FROM total JOIN docs USING (id) WHERE {where})
+    {final}"""
+
+
+def shown(top: DataFrame) -> DataFrame:
+    return top.select("id", F.round("score", 6).alias("score"), "title", "canonical_url", stamp("fetched_at").alias("fetched_at"))
+
+
+@query(search_sql(QUERY))
+def search_topk(spark, d):
+    return shown(se.search(t.docs(spark, d), QUERY, t.now()))
+
+
+@query(search_sql(FILTERED, f"language = 'en' AND fetched_at >= {NOW} - to_days(30)"))
+def search_filtered(spark, d):
+    return shown(se.search(t.docs(spark, d), FILTERED, t.now()))
+
+
+@query(search_sql(SITE, "(host = 'src1.example.com' OR host LIKE '%.src1.example.com' OR canonical_url LIKE '%src1.example.com%')", ("all",)))
+def search_site_filter(spark, d):
+    return shown(se.search(t.docs(spark, d), SITE, t.now(), ("all",)))
+
+
+@query(search_sql(se.SearchParams("src3 en", limit=20), clauses=("address",)))
+def search_display_url(spark, d):
+    return shown(se.search(t.docs(spark, d), se.SearchParams("src3 en", limit=20), t.now(), ("address",)))
+
+
+@query(search_sql(se.SearchParams("of th", limit=20), clauses=("phrase",)))
+def search_phrase_prefix(spark, d):
+    return shown(se.search(t.docs(spark, d), se.SearchParams("of th", limit=20), t.now(), ("phrase",)))
+
+
+@query(search_sql(QUERY, final="SELECT least(count(*), 10000)::BIGINT AS total FROM ranked"))
+def search_total(spark, d):
+    return se.scored_documents(t.docs(spark, d), QUERY, t.now()).agg(F.least(F.count("*"), F.lit(10_000)).alias("total"))
+
+
+@query(f"""WITH {t.DOCS}, q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:3])) AS term FROM benchmark),
+ n AS (SELECT item_id, count(*) AS k FROM q GROUP BY 1), p AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM docs)
+ SELECT item_id, count(*)::BIGINT AS hits FROM (SELECT item_id, id, count(*) AS c FROM q JOIN p USING (term) GROUP BY ALL) JOIN n USING (item_id) WHERE c = k GROUP BY item_id""")
+def search_batch(spark, d):
+    """Many queries in one plan: how many documents hold all of the first three words of each benchmark item."""
+    q = t.read(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 3))).alias("term"))
+    sizes = q.groupBy("item_id").agg(F.count("*").alias("k"))
+    posts = se.postings(t.docs(spark, d), fields=("body",)).select("id", "term").join(q.select("term").distinct(), "term", "left_semi")
+    hits = posts.join(q, "term").groupBy("item_id", "id").agg(F.count("*").alias("c"))
+    return hits.join(sizes, "item_id").where("c = k").groupBy("item_id").agg(F.count("*").alias("hits"))
+
+
+@query("""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
+ q AS (SELECT unnest(['thing', 'tion', 'on']) AS query_term)
+ SELECT query_term, term, damerau_levenshtein(query_term, term)::BIGINT AS distance FROM v, q WHERE damerau_levenshtein(query_term, term) <= CASE WHEN length(query_term) <= 2 THEN 0 ELSE 1 END""")
+def search_fuzzy(spark, d):
+    words = t.read(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    return se.fuzzy_terms(words, ["thing", "tion", "on"], most=10**6).select("query_term", "term", F.col("distance").cast("long").alias("distance"))
+
+
+INPUTS = f"""WITH {t.DOCS}, s AS (SELECT id, list_sort(list_distinct(list_filter(list_concat([lower(title), lower(host)], list_sort(list_distinct(
+ list_filter(list_concat(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+'), regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')), lambda x: strlen(x) >= 4)[1:2000]))), lambda x: trim(x) <> '')))[1:12] AS suggest_input FROM docs)"""
+
+
+def inputs(spark, d) -> DataFrame:
+    docs = t.docs(spark, d)
+    found = F.slice(F.filter(F.concat(tx.tokens(F.col("title")), tx.tokens(F.col("body"))), lambda x: F.octet_length(x) >= 4), 1, 2000)
+    return docs.select("id", tx.suggest_inputs(F.col("title"), F.col("host"), F.array_sort(F.array_distinct(found))).alias("suggest_input"))
+
+
+@query(INPUTS + " SELECT id, array_to_string(suggest_input, '|') AS suggest_input FROM s")
+def suggest_inputs(spark, d):
+    return inputs(spark, d).select("id", F.array_join("suggest_input", "|").alias("suggest_input"))
+
+
+@query(INPUTS + " SELECT DISTINCT suggestion FROM (SELECT unnest(suggest_input) AS suggestion FROM s) WHERE starts_with(suggestion, 'an') ORDER BY suggestion LIMIT 8")
+def suggest_prefix(spark, d):
+    return se.suggest(inputs(spark, d), " An")
+
+
+@query("""WITH q AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '\\S+')[1:3], ' ') || ' teh  Serach' AS q FROM documents)
+ SELECT doc_id, array_to_string(list_transform(regexp_extract_all(q, '\\S+'), lambda w: CASE lower(w) WHEN 'teh' THEN 'the' WHEN 'serach' THEN 'search' ELSE w END), ' ') AS suggestion FROM q""")
+def spell_correct(spark, d):
+    q = F.concat(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1), 1, 3), " "), F.lit(" teh  Serach"))
+    return t.read(spark, d, "documents").select("doc_id", tx.correct_spelling(q).alias("suggestion"))
+
+
+@query("SELECT doc_id, regexp_replace(left(text, 220), '(?i)(tion|the)', '<mark>\\1</mark>', 'g') AS marked FROM documents")
+def highlight(spark, d):
+    return t.read(spark, d, "documents").select("doc_id", tx.highlight(F.left("text", F.lit(220)), "the tion").alias("marked"))
+
+
+@query(f"WITH {t.DOCS} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS tf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM docs) GROUP BY ALL) GROUP BY term")
+def term_postings(spark, d):
+    return se.postings(t.docs(spark, d), fields=("body",)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"WITH {t.DOCS}, f AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, len(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+')) AS dl FROM docs" for f in se.FIELDS) + ") SELECT field, count(*)::BIGINT AS n, round(avg(dl), 6) AS avgdl FROM f WHERE dl > 0 GROUP BY field")
+def field_stats(spark, d):
+    return se.field_stats(t.docs(spark, d)).select("field", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+TOKENS4 = "list_filter(list_concat(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+')), lambda x: strlen(x) >= 4)"
+
+
+@query(f"""WITH {t.DOCS}, x AS (SELECT id, unnest({TOKENS4}) AS term, generate_subscripts({TOKENS4}, 1) AS pos FROM docs), y AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY min(pos)) AS r FROM x GROUP BY id, term)
+ SELECT docs.id, coalesce(string_agg(term, '|' ORDER BY term), '') AS terms FROM docs LEFT JOIN (SELECT * FROM y WHERE r <= 12) y ON y.id = docs.id GROUP BY docs.id""")
+def derive_terms(spark, d):
+    return t.docs(spark, d).select("id", F.array_join(tx.derive_terms(F.col("title"), F.col("body")), "|").alias("terms"))
+
+
+# ---- URLs and pages
+
+URL = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$".replace("^(?i)", "(?i)^")
+
+
+def url_part(i: int) -> str:
+    return f"regexp_extract(trim(url), '{URL}', {i})"
+
+
+HOST, PATH = f"nullif(lower({url_part(2)}), '')", f"regexp_replace({url_part(4)}, '/+$', '')"
+ORIGIN = f"""CASE WHEN {HOST} IS NOT NULL THEN lower({url_part(1)}) || '://' || {HOST} || CASE WHEN {url_part(3)} = '' OR (lower({url_part(1)}) = 'https' AND {url_part(3)} = '443')
+ OR (lower({url_part(1)}) = 'http' AND {url_part(3)} = '80') THEN '' ELSE ':' || {url_part(3)} END END"""
+
+
+@query(f"""WITH p AS (SELECT page_id, unnest(CASE WHEN {url_part(5)} = '' THEN [] ELSE string_split({url_part(5)}, '&') END) AS x FROM pages),
+ k AS (SELECT page_id, split_part(x, '=', 1) AS k, CASE WHEN contains(x, '=') THEN substr(x, length(split_part(x, '=', 1)) + 2) ELSE '' END AS v FROM p WHERE x <> ''),
+ s AS (SELECT page_id, string_agg(k || '=' || v, '&' ORDER BY k, v) AS query FROM k WHERE k NOT IN ({', '.join(f"'{x}'" for x in urls.TRACKING)}) GROUP BY page_id)
+ SELECT page_id, {ORIGIN} || CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || coalesce('?' || query, '') AS normalized FROM pages LEFT JOIN s USING (page_id)""")
+def url_normalize(spark, d):
+    return t.read(spark, d, "pages").select("page_id", urls.normalize(F.col("url")).alias("normalized"))
+
+
+@query(f"""SELECT page_id, {HOST} AS host, {ORIGIN} AS origin, coalesce({HOST} || {PATH}, url) AS display, CASE WHEN coalesce({HOST}, '') LIKE '%.onion' THEN 'tor' ELSE 'clearnet' END AS network,
+ coalesce({HOST} = 'example.com' OR {HOST} LIKE '%.example.com', false) AS in_domain, coalesce({HOST} = 'example.com', false) AS same_host FROM pages""")
+def url_parts(spark, d):
+    u = F.col("url")
+    scope = lambda s: F.coalesce(urls.in_scope(urls.host(u), F.lit("example.com"), F.lit(s)), F.lit(False))
+    return t.read(spark, d, "pages").select("page_id", urls.host(u).alias("host"), urls.origin(u).alias("origin"), urls.display(u).alias("display"), urls.network(u).alias("network"), scope("same_domain").alias("in_domain"), scope("same_host").alias("same_host"))
+
+
+@query(f"SELECT page_id, regexp_replace(split_part(split_part(url, '://', 2), '/', 1), ':[0-9]+$', '') AS host, md5(html) AS legacy_hash, sha256(html) AS content_hash FROM pages")
+def url_sql_host(spark, d):
+    host = F.regexp_replace(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)), ":[0-9]+$", "")
+    return t.read(spark, d, "pages").select("page_id", host.alias("host"), F.md5(F.col("html").cast("binary")).alias("legacy_hash"), F.sha2(F.col("html").cast("binary"), 256).alias("content_hash"))
+
+
+LINKS = "SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"#?]*)', 1))) AS link FROM pages"
+
+
+@query(f"SELECT page_id, link FROM ({LINKS})")
+def link_extract(spark, d):
+    return t.read(spark, d, "pages").select("page_id", F.explode(web.native_links(F.col("html"))).alias("link"))
+
+
+@query(f"SELECT target, count(DISTINCT page_id)::BIGINT AS inlinks, round(0.5 + 0.2 * log10(count(DISTINCT page_id) + 1), 6) AS authority FROM (SELECT page_id, {ORIGIN} || link AS target FROM ({LINKS})) GROUP BY target")
+def link_edges(spark, d):
+    e = t.read(spark, d, "pages").select(F.col("page_id").alias("source"), urls.origin(F.col("url")).alias("o"), F.explode(web.native_links(F.col("html"))).alias("link")).select("source", F.concat("o", "link").alias("target"))
+    return fr.inlinks(e).select("target", "inlinks", F.round(st.site_authority(F.col("inlinks")), 6).alias("authority"))
+
+
+@query("SELECT l_partkey AS target, count(DISTINCT l_orderkey)::BIGINT AS inlinks FROM lineitem GROUP BY 1")
+def inlinks(spark, d):
+    return fr.inlinks(t.edges(spark, d))
+
+
+@query("""WITH i AS (SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)
+ SELECT p_partkey AS id, coalesce(n, 0)::BIGINT AS inlinks, CASE WHEN n IS NULL THEN 0.5 ELSE round(0.5 + 0.2 * log10(n + 1), 6) END AS authority FROM part LEFT JOIN i ON id = p_partkey""")
+def authority(spark, d):
+    counts = fr.inlinks(t.edges(spark, d)).withColumnRenamed("target", "id")
+    joined = t.read(spark, d, "part").select(F.col("p_partkey").alias("id")).join(counts, "id", "left")
+    return joined.select("id", F.coalesce("inlinks", F.lit(0)).alias("inlinks"), F.when(F.col("inlinks").isNull(), 0.5).otherwise(F.round(st.site_authority(F.col("inlinks")), 6)).alias("authority"))
+
+
+@query()
+def html_parse(spark, d):
+    p = t.read(spark, d, "pages").withColumn("p", web.parse_html("url", "html"))
+    return p.select("page_id", "p.title", "p.snippet", tx.word_count(F.col("p.body")).alias("words"), F.size("p.links").alias("links"), "p.canonical", "p.noindex", "p.nofollow")
+
+
+BODY = "trim(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT page_id, html, {BODY} AS body FROM pages), f AS (SELECT *, len(list_filter([{', '.join(f"'{m}'" for m in tx.CONTENT_MARKS)}], lambda m: contains(html, m))) > 0 AS root,
+ len(list_filter([{', '.join(f"'{m}'" for m in tx.SHELL_MARKS)}], lambda m: contains(html, m))) > 0 AS shell FROM p)
+ SELECT page_id, CASE WHEN strlen(body) >= 600 OR (root AND strlen(body) >= 120) THEN false WHEN shell THEN true ELSE strlen(body) < 40 AND contains(html, '<script') AND NOT root END AS js FROM f""")
+def js_needed(spark, d):
+    body = tx.squeeze(F.regexp_replace("html", "(?s)<script.*?</script>|<[^>]*>", " "))
+    return t.read(spark, d, "pages").select("page_id", tx.needs_script(F.col("html"), body).alias("js"))
+
+
+RULES = ru.RuleRegistry([
+    ru.PageRule("feed", "deny", hosts=("therin.example.net",)), ru.PageRule("paged", "discover_only", query_keys=("page",)),
+    ru.PageRule("german", "deny", host_suffixes=("example.com",), path_prefixes=("/de/",)), ru.PageRule("html", "index", path_regex=r"\.html$"),
+])
+
+
+@query(f"""SELECT page_id, CASE WHEN {HOST} = 'therin.example.net' THEN 'feed' WHEN len(list_filter(string_split({url_part(5)}, '&'), lambda x: split_part(x, '=', 1) = 'page')) > 0 THEN 'paged'
+ WHEN ({HOST} = 'example.com' OR {HOST} LIKE '%.example.com') AND starts_with({url_part(4)}, '/de/') THEN 'german' WHEN regexp_matches({url_part(4)}, '\\.html$') THEN 'html' END AS rule FROM pages""")
+def profile_rules(spark, d):
+    return t.read(spark, d, "pages").select("page_id", RULES.decide(F.col("url"))["rule"].alias("rule"))
+
+
+@query()
+def sitemap_parse(spark, d):
+    xml = F.concat(F.lit("<urlset><url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc><priority>0.5</priority></url></urlset>"))
+    return t.read(spark, d, "pages").select("page_id", F.explode(web.sitemap_entries(xml)).alias("e")).select("page_id", "e.loc", "e.priority")
+
+
+@query()
+def robots_delay(spark, d):
+    text = F.concat(F.lit("User-agent: *\nCrawl-delay: "), F.col("page_id") % 9, F.lit("\nDisallow: /de/\nAllow: /de/1"))
+    return t.read(spark, d, "pages").select("page_id", web.robots_delay(text, F.lit("any")).alias("delay"), web.robots_allowed(text, F.lit("any"), urls.part(F.col("url"), 4)).alias("allowed"))
+
+
+@query()
+def detect_lang(spark, d):
+    return t.read(spark, d, "documents").select("doc_id", web.detect_language("text").alias("language"))
+
+
+# ---- documents
+
+
+@query(f"""WITH {t.DOCS} SELECT id, coalesce(nullif(trim(title), ''), canonical_url) AS title, left(trim(snippet), 220) AS snippet, length(left(body, 8000))::BIGINT AS body_chars, lower(trim(language)) AS language, host, canonical_url,
+ len(regexp_extract_all(left(body, 8000), '\\S+'))::BIGINT AS word_count, content_hash, (trim(title) <> '' AND trim(body) <> '') AS gate FROM docs""")
+def doc_normalize(spark, d):
+    raw = t.docs(spark, d).withColumn("url", F.col("canonical_url"))
+    return dx.normalize(raw).join(raw.select("id", dx.gate(raw).alias("gate")), "id").select("id", "title", "snippet", F.length("body").cast("long").alias("body_chars"), "language", "host", "canonical_url", "word_count", "content_hash", "gate")
+
+
+@query(f"""WITH {t.DOCS}, w AS (SELECT id, body, regexp_extract_all(body, '\\S+') AS w, string_split(body, '.') AS s FROM docs),
+ f AS (SELECT id, len(w) >= 10 AND len(list_distinct(w)) / len(w)::DOUBLE < 0.3 AS stuffing, len(w) >= 50 AND (length(body) - length(replace(body, 'http', ''))) / 4 / len(w)::DOUBLE > 0.1 AS links,
+ strlen(body) < 100 AS short, len(s) >= 5 AND len(list_distinct(s)) / len(s)::DOUBLE < 0.5 AS repetitive FROM w)
+ SELECT id, stuffing, links, short, repetitive, 3 * stuffing::INT + 2 * links::INT + 2 * short::INT + 3 * repetitive::INT > 5 AS spam FROM f""")
+def spam_score(spark, d):
+    body = F.col("body")
+    return t.docs(spark, d).select("id", *[c.alias(k) for k, c in tx.spam_flags(body).items()], tx.is_spam(body).alias("spam"))
+
+
+DUP = f"WITH {t.DOCS}, m AS (SELECT *, first_value(id) OVER (PARTITION BY content_hash ORDER BY fetched_at, id) AS f FROM docs)"
+
+
+@query(f"{DUP} SELECT id, CASE WHEN f <> id THEN f END AS duplicate_of FROM m")
+def dedup_exact(spark, d):
+    return dx.mark_duplicates(t.docs(spark, d)).select("id", "duplicate_of")
+
+
+@query(f"{DUP} SELECT count(*)::BIGINT AS accepted, count(*) FILTER (WHERE f <> id)::BIGINT AS duplicates, count(*) FILTER (WHERE trim(title) = '' OR trim(body) = '')::BIGINT AS skipped FROM m")
+def ingest_counters(spark, d):
+    m = dx.mark_duplicates(t.docs(spark, d))
+    return m.agg(F.count("*").alias("accepted"), F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates"), F.count_if(~dx.gate(m)).alias("skipped"))
+
+
+@query(f"WITH {t.DOCS}, c AS (SELECT *, host || '/' || id % 50 AS page FROM docs) SELECT page, arg_max(id, (fetched_at, id)) AS id FROM c GROUP BY page")
+def canonical_replace(spark, d):
+    c = t.docs(spark, d).withColumn("canonical_url", F.concat("host", F.lit("/"), F.col("id") % 50))
+    return dx.latest_per_canonical(c).select(F.col("canonical_url").alias("page"), "id")
+
+
+@query(f"WITH {t.DOCS} SELECT id FROM docs WHERE NOT (host = 'src1.example.com' OR host LIKE '%.src1.example.com')")
+def purge_site(spark, d):
+    return dx.purge_site(t.docs(spark, d), "src1.example.com").select("id")
+
+
+@query(f"WITH {t.DOCS} SELECT id, language, {sql_stamp('fetched_at')} AS fetched_at FROM docs WHERE lower(title) LIKE '%tion_%' OR lower(snippet) LIKE '%tion_%' ORDER BY docs.fetched_at DESC, id LIMIT 50 OFFSET 10")
+def list_documents(spark, d):
+    found = F.lower("title").like("%tion_%") | F.lower("snippet").like("%tion_%")
+    return t.docs(spark, d).where(found).orderBy(F.col("fetched_at").desc(), "id").offset(10).limit(50).select("id", "language", stamp("fetched_at").alias("fetched_at"))
+
+
+@query(f"WITH {t.DOCS} SELECT host, count(*)::BIGINT AS documents, count(*) FILTER (WHERE fetched_at >= {NOW} - to_days(7))::BIGINT AS week, {sql_stamp('max(fetched_at)')} AS last FROM docs WHERE host = 'src2.example.com' OR host LIKE '%.src2.example.com' GROUP BY host")
+def domain_summary(spark, d):
+    mine = t.docs(spark, d).where(urls.within(F.col("host"), "src2.example.com"))
+    return mine.groupBy("host").agg(F.count("*").alias("documents"), F.count_if(F.col("fetched_at") >= t.now() - t.days(F.lit(7))).alias("week"), stamp(F.max("fetched_at")).alias("last"))
+
+
+@query("SELECT coalesce(nullif(lang, ''), 'unknown') AS label, count(*)::BIGINT AS n FROM documents GROUP BY 1 ORDER BY n DESC, label LIMIT 5")
+def facet_language(spark, d):
+    return t.read(spark, d, "documents").groupBy(F.coalesce(F.nullif("lang", F.lit("")), F.lit("unknown")).alias("label")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label").limit(5)
+
+
+# ---- jobs and origins
+
+
+@query(f"""WITH {t.JOBS}, {t.ORIGINS}, a AS (SELECT origin_key, count(*) AS active FROM jobs WHERE status IN ('claimed', 'ingesting') GROUP BY 1),
+ r AS (SELECT jobs.*, next_allowed_at, coalesce(active, 0) AS active, row_number() OVER (PARTITION BY origin_key ORDER BY priority DESC, discovered_at, id) AS rank FROM jobs JOIN origins USING (origin_key) LEFT JOIN a USING (origin_key)
+ WHERE status = 'queued' AND (next_retry_at IS NULL OR next_retry_at <= {NOW}) AND NOT requires_js AND next_allowed_at <= {NOW})
+ SELECT id, origin_key, rank::BIGINT AS rank FROM r WHERE active + rank <= greatest(same_origin_concurrency, 1) ORDER BY next_allowed_at, priority DESC, discovered_at, id LIMIT 100""")
+def claim_frontier(spark, d):
+    return fr.claim(t.jobs(spark, d), t.origins(spark, d).drop("owner"), t.now(), 100).select("id", "origin_key", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH f AS (SELECT l_suppkey % 50 AS owner, 'https://example.com/' || l_partkey AS url, min(l_orderkey * 10 + l_linenumber) AS position FROM lineitem GROUP BY 1, 2),
+ n AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY position, url) AS nth FROM f WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 50 = owner AND 'https://example.com/' || p_partkey = url))
+ SELECT owner, url, nth::BIGINT AS nth FROM n WHERE nth <= 20 - owner % 7""")
+def enqueue_budget(spark, d):
+    url = lambda k: F.concat(F.lit("https://example.com/"), F.col(k))
+    found = t.read(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("owner"), url("l_partkey").alias("url"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.lit(20).alias("max_pages"))
+    known = t.read(spark, d, "part").select((F.col("p_partkey") % 50).alias("owner"), url("p_partkey").alias("url"))
+    used = spark.range(50).select(F.col("id").alias("owner"), (F.col("id") % 7).alias("used"))
+    return fr.enqueue(found, known, used).select("owner", "url", F.col("nth").cast("long").alias("nth"))
+
+
+KIND = "CASE WHEN status_code = 599 THEN 'network_error' WHEN status_code IN (401, 403) THEN 'blocked' WHEN status_code = 408 THEN 'timeout' WHEN status_code BETWEEN 500 AND 599 THEN 'http_5xx' ELSE 'http_' || status_code END"
+OUTCOME = f"""CASE WHEN status_code = 304 OR (status_code BETWEEN 200 AND 299 AND (error_kind IN ('blacklisted_domain', 'site_profile_filtered', 'page_noindex') OR (error_kind IS NULL AND NOT coalesce(llm_should_index, true)))) THEN 'filtered'
+ WHEN status_code BETWEEN 200 AND 299 AND error_kind IS NULL THEN CASE WHEN indexable THEN 'succeeded' ELSE 'unindexable' END WHEN status_code IN (404, 410) THEN 'gone'
+ WHEN status_code IN (401, 403) OR coalesce(error_kind, {KIND}) IN ('robots', 'blocked', 'robots_blocked') THEN 'blocked' WHEN error_kind = 'requires_js_render' THEN 'requires_js'
+ WHEN coalesce(retryable, status_code IN (408, 425, 429, 599) OR status_code >= 500) THEN CASE WHEN greatest(attempt_count, 1) < max_attempts THEN 'retry' ELSE 'dead_letter' END ELSE 'failed' END"""
+
+
+@query(f"WITH {t.REPORTS} SELECT job_id, {OUTCOME} AS outcome, coalesce(error_kind, {KIND}) AS kind, CASE WHEN attempt_count <= 1 THEN 30 WHEN attempt_count = 2 THEN 120 ELSE 300 END::BIGINT AS backoff FROM reports")
+def outcome_classify(spark, d):
+    r = t.reports(spark, d)
+    return r.select("job_id", st.outcome().alias("outcome"), F.coalesce("error_kind", st.failure_kind(F.col("status_code"))).alias("kind"), st.backoff_seconds(F.col("attempt_count")).cast("long").alias("backoff"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'indexed' WHEN quality = 1 THEN 'index_only' WHEN toxic = 0 THEN 'discover_only' ELSE 'filtered' END AS decision FROM labels")
+def llm_decision(spark, d):
+    return t.read(spark, d, "labels").select("doc_id", st.llm_decision(F.col("quality") == 1, F.col("toxic") == 0).alias("decision"))
+
+
+@query(f"""WITH {t.REPORTS}, {t.ORIGINS}, x AS (SELECT *, status_code = 429 OR status_code BETWEEN 500 AND 599 OR coalesce(error_kind, '') = 'network_error' AS bad,
+ fetched_at + to_seconds(greatest(coalesce(crawl_delay, 1), 1, coalesce(retry_after, 0), CASE WHEN status_code = 429 THEN greatest(coalesce(retry_after, 0), 30) WHEN status_code >= 500 THEN greatest(coalesce(retry_after, 0), 60)
+ WHEN error_kind = 'network_error' THEN 45 WHEN error_kind = 'robots' THEN 300 ELSE 0 END)::INT) AS ready FROM reports),
+ b AS (SELECT origin_key, count(*) AS done, max(ready) AS ready_at, max((fetched_at, job_id)) FILTER (WHERE NOT bad) AS ok FROM x GROUP BY 1),
+ s AS (SELECT x.origin_key, count(*) AS streak FROM x JOIN b USING (origin_key) WHERE bad AND (ok IS NULL OR (fetched_at, job_id) > ok) GROUP BY 1)
+ SELECT origin_key, {sql_stamp('greatest(next_allowed_at, coalesce(ready_at, next_allowed_at))')} AS next_allowed_at, greatest(0, in_flight_count - coalesce(done, 0))::BIGINT AS in_flight_count,
+ (CASE WHEN ok IS NOT NULL THEN 0 ELSE consecutive_failures END + coalesce(streak, 0))::BIGINT AS consecutive_failures FROM origins LEFT JOIN b USING (origin_key) LEFT JOIN s USING (origin_key)""")
+def origin_update(spark, d):
+    out = fr.update_origins(t.origins(spark, d), t.reports(spark, d))
+    return out.select("origin_key", stamp("next_allowed_at").alias("next_allowed_at"), F.col("in_flight_count").cast("long").alias("in_flight_count"), F.col("consecutive_failures").cast("long").alias("consecutive_failures"))
+
+
+def stale_sql(status: str, reason: str) -> str:
+    stale = f"(status = '{status}' AND claimed_at < {NOW} - to_seconds(300))"
+    return f"""WITH {t.JOBS} SELECT id, CASE WHEN coalesce({stale}, false) THEN CASE WHEN attempt_count >= max_attempts THEN 'dead_letter' ELSE 'queued' END ELSE status END AS status,
+    CASE WHEN {stale} AND attempt_count < max_attempts THEN {sql_stamp(NOW + " + to_seconds(30)")} END AS next_retry_at, CASE WHEN {stale} AND attempt_count >= max_attempts THEN '{reason}' END AS failure_kind FROM jobs"""
+
+
+@query(stale_sql("claimed", "claim_timeout"))
+def stale_requeue(spark, d):
+    return fr.requeue_stale(t.jobs(spark, d), t.now(), 300, "claimed", "claim_timeout").withColumn("next_retry_at", stamp("next_retry_at"))
+
+
+@query(f"SELECT event_id AS id FROM events WHERE event_id % 4 > 0 AND (event_id % 9 = 0 OR epoch_us({NOW}) - epoch_us(ts) >= (event_id % 40000) * 60000000)")
+def due_rules(spark, d):
+    e = t.read(spark, d, "events")
+    rules = e.select(F.col("event_id").alias("id"), (F.col("event_id") % 4 > 0).alias("enabled"), F.when(F.col("event_id") % 9 > 0, F.col("ts")).alias("last_enqueued_at"), (F.col("event_id") % 40000).alias("interval_minutes"))
+    return fr.due_rules(rules, t.now()).select("id")
+
+
+@query(f"""WITH {t.DOCS}, s AS (SELECT 'src' || n_nationkey || '.example.com' AS domain, n_nationkey * 40.5 AS hours FROM nation)
+ SELECT id FROM docs LEFT JOIN s ON host = domain WHERE fetched_at < {NOW} - to_hours(round_even(least(greatest(coalesce(hours, 168.0), 24.0), 720.0), 0)::INT) ORDER BY fetched_at, id LIMIT 100""")
+def recrawl_candidates(spark, d):
+    stats = t.read(spark, d, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey"), F.lit(".example.com")).alias("domain"), (F.col("n_nationkey") * F.lit(40.5)).alias("avg_change_frequency_hours"))
+    return fr.recrawl_candidates(t.docs(spark, d), stats, t.now()).select("id")
+
+
+@query("SELECT event_id AS id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 400")
+def trim_events(spark, d):
+    return fr.trim_events(t.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("owner"), F.col("ts").alias("created_at"))).select("id")
+
+
+def job_counts(c: Column) -> list[Column]:
+    return [F.count("*").alias("total"), *[F.count_if(c == s).alias(s) for s in ("queued", "claimed", "succeeded")]]
+
+
+JOB_COUNTS = "count(*)::BIGINT AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}')::BIGINT AS {s}" for s in ("queued", "claimed", "succeeded"))
+
+
+@query(f"WITH {t.JOBS} SELECT {JOB_COUNTS}, {sql_stamp('max(coalesce(claimed_at, discovered_at))')} AS last FROM jobs")
+def job_stats(spark, d):
+    return t.jobs(spark, d).agg(*job_counts(F.col("status")), stamp(F.max(F.coalesce("claimed_at", "discovered_at"))).alias("last"))
+
+
+@query(f"WITH {t.JOBS} SELECT owner, {JOB_COUNTS} FROM jobs GROUP BY owner")
+def domain_jobs(spark, d):
+    return t.jobs(spark, d).groupBy("owner").agg(*job_counts(F.col("status")))
+
+
+@query(f"WITH {t.JOBS} SELECT id, priority, {sql_stamp('discovered_at')} AS discovered_at FROM jobs WHERE status = 'queued' ORDER BY jobs.discovered_at DESC, id LIMIT 100")
+def list_jobs(spark, d):
+    return t.jobs(spark, d).where("status = 'queued'").orderBy(F.col("discovered_at").desc(), "id").limit(100).select("id", "priority", stamp("discovered_at").alias("discovered_at"))
+
+
+@query(f"""WITH {t.JOBS} SELECT count(*) FILTER (WHERE status = 'queued')::BIGINT AS frontier, count(*) FILTER (WHERE status = 'claimed')::BIGINT AS in_flight, (SELECT count(*) FROM documents)::BIGINT AS documents,
+ (SELECT count(*) - count(DISTINCT text) FROM documents)::BIGINT AS duplicates FROM jobs""")
+def overview_counts(spark, d):
+    j = t.jobs(spark, d).agg(F.count_if(F.col("status") == "queued").alias("frontier"), F.count_if(F.col("status") == "claimed").alias("in_flight"))
+    n = t.docs(spark, d).agg(F.count("*").alias("documents"), (F.count("*") - F.countDistinct("content_hash")).alias("duplicates"))
+    return j.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@query("""WITH j AS (SELECT l_suppkey AS id, count(*) AS in_flight FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+ SELECT s_suppkey AS id, s_acctbal >= 0 AS online, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 7 END AS sort_order, coalesce(in_flight, 0)::BIGINT AS in_flight FROM supplier LEFT JOIN j ON id = s_suppkey
+ ORDER BY online DESC, sort_order ASC NULLS LAST, id LIMIT 50""")
+def worker_overview(spark, d):
+    flight = t.read(spark, d, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("in_flight"))
+    w = t.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") >= 0).alias("online"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 7).alias("sort_order"))
+    return w.join(flight, "id", "left").withColumn("in_flight", F.coalesce("in_flight", F.lit(0))).orderBy(F.col("online").desc(), F.col("sort_order").asc_nulls_last(), "id").limit(50)
+
+
+@query(f"SELECT event_id, {sql_stamp('ts')} AS ts FROM events ORDER BY events.ts DESC, event_id DESC LIMIT 40")
+def recent_events(spark, d):
+    return t.read(spark, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(40).select("event_id", stamp("ts").alias("ts"))
+
+
+@query("""SELECT conv_id, CASE WHEN count(*) FILTER (WHERE (conv_id + turn) % 5 = 4) > 0 THEN 'failed' WHEN count(*) FILTER (WHERE (conv_id + turn) % 5 IN (0, 1)) > 0 THEN 'processing' ELSE 'completed' END AS status, count(*)::BIGINT AS results FROM conversations GROUP BY conv_id""")
+def batch_status(spark, d):
+    state = (F.col("conv_id") + F.col("turn")) % 5
+    status = F.when(F.count_if(state == 4) > 0, "failed").when(F.count_if(state.isin(0, 1)) > 0, "processing").otherwise("completed")
+    return t.read(spark, d, "conversations").groupBy("conv_id").agg(status.alias("status"), F.count("*").alias("results"))
+
+
+HEALTHY = "status_code < 400"
+
+
+@query(f"""WITH {t.REPORTS}, l AS (SELECT domain, max((fetched_at, job_id)) FILTER (WHERE {HEALTHY}) AS last FROM reports GROUP BY 1),
+ c AS (SELECT domain, count(*) FILTER (WHERE {HEALTHY})::BIGINT AS pages, count(*) FILTER (WHERE NOT {HEALTHY})::BIGINT AS failed, count(*) FILTER (WHERE NOT {HEALTHY} AND (last IS NULL OR (fetched_at, job_id) > last))::BIGINT AS streak
+ FROM reports JOIN l USING (domain) GROUP BY 1) SELECT *, CASE WHEN streak >= 10 THEN 'unhealthy' WHEN streak >= 5 THEN 'degraded' ELSE 'healthy' END AS health FROM c""")
+def domain_health(spark, d):
+    return fr.domain_health(t.reports(spark, d).select("domain", F.col("fetched_at").alias("at"), F.col("job_id").alias("id"), (F.col("status_code") < 400).alias("ok")))
+
+
+@query(f"""WITH {t.REPORTS} SELECT job_id AS id, round(CASE WHEN count(*) OVER w > 1 THEN sum((job_id % 3 = 0)::INT) OVER w / (count(*) OVER w)::DOUBLE * 168.0 END, 6) AS hours FROM reports
+ WINDOW w AS (PARTITION BY domain ORDER BY fetched_at, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def change_frequency(spark, d):
+    checks = t.reports(spark, d).select("domain", F.col("fetched_at").alias("checked_at"), F.col("job_id").alias("id"), (F.col("job_id") % 3 == 0).alias("changed"))
+    return fr.change_frequency(checks).select("id", F.round("hours", 6).alias("hours"))
+
+
+@query(f"WITH {t.JOBS}, {t.ORIGINS} SELECT origin_key FROM origins WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE jobs.origin_key = origins.origin_key)")
+def orphan_origins(spark, d):
+    return t.origins(spark, d).join(t.jobs(spark, d), "origin_key", "left_anti").select("origin_key")
+
+
+@query(f"SELECT page_id FROM pages WHERE {HOST} = 'spam-farm.example.org' OR {HOST} LIKE '%.spam-farm.example.org' OR {HOST} = 'cheap-pills.example.com' OR {HOST} LIKE '%.cheap-pills.example.com'")
+def blacklist(spark, d):
+    h = urls.host(F.col("url"))
+    return t.read(spark, d, "pages").where(urls.within(h, "spam-farm.example.org") | urls.within(h, "cheap-pills.example.com")).select("page_id")
+
+
+@query("SELECT event_id AS id, (epoch_us(ts) // 3600000000)::BIGINT AS slot, row_number() OVER (PARTITION BY user_id % 10, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) <= 2 AS allowed FROM events")
+def rate_limit(spark, d):
+    r = t.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("ip"), "ts")
+    return fr.rate_verdicts(r, limit=2, window_s=3600).select("id", F.col("window").alias("slot"), "allowed")
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'rejected' WHEN count(*) FILTER (WHERE event_type <> 'view') OVER (PARTITION BY user_id % 20, ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 3
+ THEN 'served' ELSE 'exceeded' END AS verdict FROM events""")
+def daily_quota(spark, d):
+    e = t.read(spark, d, "events")
+    r = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("user_id"), "ts", F.when(F.col("event_type") != "view", F.col("event_type")).alias("q"))
+    return fr.quota_verdicts(r, 3).select("id", "verdict")
+
+
+@query("""WITH u AS (SELECT user_id % 30 AS owner, count(*) AS used FROM events WHERE ts::DATE = DATE '2024-01-15' GROUP BY 1)
+ SELECT n_nationkey AS user_id, coalesce(used, 0)::BIGINT AS used, 100::BIGINT AS daily_limit FROM nation LEFT JOIN u ON owner = n_nationkey""")
+def usage_report(spark, d):
+    used = t.read(spark, d, "events").where(F.to_date("ts") == F.lit("2024-01-15").cast("date")).groupBy((F.col("user_id") % 30).alias("user_id")).agg(F.count("*").alias("used"))
+    users = t.read(spark, d, "nation").select(F.col("n_nationkey").alias("user_id"))
+    return users.join(used, "user_id", "left").select("user_id", F.coalesce("used", F.lit(0)).alias("used"), F.lit(100).cast("long").alias("daily_limit"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type AS kind FROM events")
+def json_props(spark, d):
+    return t.read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("event_type").alias("kind"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'patched' ELSE 'old' END AS version, 'x' AS name, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'keep' END AS note FROM customer")
+def json_merge(spark, d):
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    old = F.create_map(F.lit("version"), F.lit("old"), F.lit("name"), F.lit("x"), F.lit("note"), F.lit("keep"))
+    patch = F.create_map(F.lit("version"), F.lit("patched"), F.lit("note"), F.lit(None).cast("string"))
+    merged = F.map_concat(old, F.when(F.col("c_custkey") % 2 == 0, patch).otherwise(F.create_map().cast("map<string,string>")))
+    return t.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), *[merged[k].alias(k) for k in ("version", "name", "note")])
+
+
+@query("""SELECT doc_id, sha256(text) <> coalesce(lag(sha256(text)) OVER w, '') AS changed FROM documents WINDOW w AS (PARTITION BY source, doc_id % 3 ORDER BY doc_id)""")
+def content_changes(spark, d):
+    h = F.sha2(F.col("text").cast("binary"), 256)
+    w = Window.partitionBy("source", F.col("doc_id") % 3).orderBy("doc_id")
+    return t.read(spark, d, "documents").withColumn("h", h).select("doc_id", (F.col("h") != F.coalesce(F.lag("h").over(w), F.lit(""))).alias("changed"))
