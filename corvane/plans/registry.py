@@ -118,9 +118,9 @@ def search_batch(spark, d):
 
 @query("""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
  q AS (SELECT unnest(['thing', 'tion', 'on']) AS query_term)
- SELECT query_term, term, damerau_levenshtein(query_term, term)::BIGINT AS distance FROM v, q WHERE damerau_levenshtein(query_term, term) <= CASE WHEN length(query_term) <= 2 THEN 0 ELSE 1 END""")
+ SELECT query_term, term, damerau_levenshtein(query_term, term)::BIGINT AS distance FROM v, q WHERE regexp_matches(term, '^[a-z]+$') AND damerau_levenshtein(query_term, term) <= CASE WHEN length(query_term) <= 2 THEN 0 ELSE 1 END""")
 def search_fuzzy(spark, d):
-    words = t.read(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    words = t.read(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).where("term rlike '^[a-z]+$'").distinct()
     return se.fuzzy_terms(words, ["thing", "tion", "on"], most=10**6).select("query_term", "term", F.col("distance").cast("long").alias("distance"))
 
 
