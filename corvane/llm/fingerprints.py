@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 16
+SAMPLES = 32
 SPACES = r"[\x20\x09-\x0D]+"
 
 
