@@ -24,7 +24,7 @@ ASCII_SPACE = "".join(c for c in OTHER_SPACE if c < "\x80")
 
 
 class IdEncoder:
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, cache_parts: int = 200_000):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, cache_parts: int = 100_000):
         import tiktoken
 
         with open(ranks_path, "rb") as f:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, slices
+from .common import doc_columns, slices, small_batches
 
 SPACE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]")
@@ -167,4 +167,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
             keep = [first_failure(Features(t), rules) is None for _, _, texts in slices(b) for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,13 +56,30 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; it waits for garbage collections."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Rows of an Arrow batch at most. Texts may be long, and a batch lies in memory on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of doc_id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra ones can't clash with what an operator adds."""
+    small_batches(docs.sparkSession)
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 

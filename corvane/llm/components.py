@@ -42,4 +42,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         before = after
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(now.groupBy("u").agg(F.min("v").alias("v")), F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+    out = nodes.join(now.groupBy("u").agg(F.min("v").alias("v")), F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+    out = scratch.write(out, "components")
+    scratch.free(now, nodes)
+    return out

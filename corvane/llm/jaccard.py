@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_columns, slices
+from .common import Scratch, doc_columns, slices, tidy
 from .components import components
 
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -35,7 +35,7 @@ MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: A broadcast of ids to fetch texts by holds so many at most; beyond that, the join shuffles.
 MOST_BROADCAST_IDS = 1 << 20
 WORDS: dict[bytes, int] = {}
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -165,8 +165,8 @@ def as_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, frequent, params: Params) -> DataFrame:
-    """rid, tokens, p2 and p3 of the wanted (doc_id, rec, rid), from the texts."""
+def sets_of(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
+    """rid and tokens of the wanted (doc_id, rec, rid), from the texts."""
 
     def run(batches):
         for b in batches:
@@ -174,13 +174,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, frequent, params: Params) -> Dat
             for i, j, texts in slices(b):
                 sets = [shingle_set(t, params.words) for t in texts]
                 ok = [k for k, s in enumerate(sets) if digest(s) == recs[i + k]]
-                p = [[prefix(sets[k], frequent.value, seed, params.percent).view(np.int64) for k in ok] for seed in SEEDS[1:]]
-                yield pa.RecordBatch.from_arrays([rids.take(pa.array([i + k for k in ok], pa.int64())), as_lists([sets[k].view(np.int64) for k in ok]), as_lists(p[0]), as_lists(p[1])], names=["rid", "tokens", "p2", "p3"])
+                yield pa.RecordBatch.from_arrays([rids.take(pa.array([i + k for k in ok], pa.int64())), as_lists([sets[k].view(np.int64) for k in ok])], names=["rid", "tokens"])
 
     texts = doc_columns(docs, "doc_id", "text").withColumnRenamed("doc_id", "id")
     few = wanted.count() <= MOST_BROADCAST_IDS
     joined = texts.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("rid", "rec", "text")
-    return joined.mapInArrow(run, "rid bigint, tokens array<bigint>, p2 array<bigint>, p3 array<bigint>")
+    return joined.mapInArrow(run, "rid bigint, tokens array<bigint>")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, recs: DataFrame, frequent, params: Params, scratch: Scratch) -> DataFrame:
@@ -188,32 +187,26 @@ def linked(pairs: DataFrame, docs: DataFrame, recs: DataFrame, frequent, params:
     pairs = scratch.write(pairs.select("a", "b"), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     wanted = scratch.write(recs.join(ids, "rid", "left_semi").select("doc_id", "rec", "rid"), "wanted")
-    # equal ids and texts may repeat a set; one is enough
-    sets = scratch.write(sets_of(docs, wanted, frequent, params), "sets").dropDuplicates(["rid"])
-    left, right = (sets.select(F.col("rid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("tokens", "p2", "p3")]) for x in "ab")
+    sets = scratch.write(sets_of(docs, wanted, params), "sets")  # a repeated row repeats its set; links are made distinct
+    left, right = (sets.select(F.col("rid").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
 
     def run(batches):
         for b in batches:
-            column = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            views = {}
-            for name in ("a_tokens", "a_p2", "a_p3", "b_tokens", "b_p2", "b_p3"):
-                views[name] = column[name].offsets.to_numpy(), column[name].values.to_numpy()
-
-            def get(name, i):
-                ends, values = views[name]
-                return values[ends[i] : ends[i + 1]]
-
+            views = [(c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in (b.column(b.schema.get_field_index(f"{x}_tokens")) for x in "ab")]
             keep = []
             for i in range(b.num_rows):
-                x, y = get("a_tokens", i), get("b_tokens", i)
+                x, y = (values[ends[i] : ends[i + 1]] for ends, values in views)
                 n, m = len(x), len(y)
-                if all(enough(common(get(f"a_{p}", i), get(f"b_{p}", i)), n, m, params.percent) for p in ("p2", "p3")):
+                if all(enough(common(*(prefix(s, frequent.value, seed, params.percent) for s in (x, y))), n, m, params.percent) for seed in SEEDS[1:]):
                     both = common(x, y)
                     if 100 * both >= params.percent * (n + m - both):
                         keep.append(i)
             yield b.select([b.schema.get_field_index("a"), b.schema.get_field_index("b")]).take(pa.array(keep, pa.int64()))
 
-    return scratch.write(pairs.join(left, "a").join(right, "b").mapInArrow(run, "b bigint, a bigint").select("a", "b"), "links")
+    met = pairs.join(left, "a").join(right, "b").mapInArrow(run, "b bigint, a bigint")
+    out = scratch.write(met.select("a", "b").distinct(), "links")
+    scratch.free(pairs, wanted, sets)
+    return out
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -235,21 +228,28 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     base = scratch.write(described(docs, frequent, params), "documents")
     recs = base.where("n > 0").groupBy("rec").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("p1").alias("p1"))
     recs = scratch.write(recs.withColumn("rid", F.monotonically_increasing_id()), "records")
+    tidy(spark)
     names = recs.select("rid", "rec", "doc_id")
 
     posts = recs.select(F.explode("p1").alias("token"), "rid", "n", "hot")
     shared = posts.groupBy("token").agg(F.count("*").alias("k"), F.max_by("rid", "hot").alias("centre"), F.max_by("n", "hot").alias("centre_n")).where("k > 1").drop("k")
     posts = scratch.write(posts.drop("hot").join(shared, "token"), "postings")
+    del shared
+    tidy(spark)
     fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * params.percent
     star = posts.where("rid <> centre").where(fits(F.col("n"), F.col("centre_n"))).groupBy("rid", "centre").agg(F.count("*").alias("c"))
     star = star.groupBy("rid").agg(F.max_by("centre", "c").alias("centre")).select(F.least("rid", "centre").alias("a"), F.greatest("rid", "centre").alias("b")).distinct()
     first = linked(star, docs, names, frequent, params, scratch)
     member = scratch.write(components(first, scratch), "members")
+    del star
+    tidy(spark)
 
     placed = posts.select("token", "rid", "n").join(member, F.col("rid") == F.col("node"), "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("comp"))
     placed = scratch.write(placed, "placed")
+    scratch.free(posts, member)
     held = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("k"), F.max_by("comp", "c").alias("major")).where("k > 1").drop("k")
     open_posts = scratch.write(placed.join(held, "token"), "open")
+    scratch.free(placed)
     minor = open_posts.where("comp <> major").select("token", F.col("rid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("a_comp"))
     every = open_posts.select("token", F.col("rid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("b_comp"), "major")
     meet = minor.join(every, "token").where("a_comp <> b_comp and (b_comp = major or a < b)").where(fits(F.col("an"), F.col("bn")))
@@ -257,10 +257,17 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     behind = F.greatest(*[F.ceil(F.col(x) * params.percent / 100) for x in ("an", "bn")]) - 1
     rest = met.where((F.col("c") + behind) * (100 + params.percent) >= params.percent * (F.col("an") + F.col("bn")))
     second = linked(rest, docs, names, frequent, params, scratch)
+    scratch.free(open_posts)
+    del minor, every, meet, met, rest, held
+    tidy(spark)
 
     whole = components(first.unionByName(second), scratch)
     known = names.join(whole, F.col("rid") == F.col("node"), "left").select("rec", "doc_id", F.coalesce("component", "rid").alias("comp"))
     least = known.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = known.join(least, "comp").select("rec", "component_id")
     out = base.select("doc_id", "rec", "n").join(classes, "rec", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = scratch.write(out, "result")
+    scratch.free(base, recs, first, second)
+    tidy(spark)
+    return out

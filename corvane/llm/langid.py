@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, id_crc, slices
+from .common import doc_columns, id_crc, slices, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -207,6 +207,7 @@ def keep_identified(docs: DataFrame, model: Model, max_bits: float = 6.0) -> Dat
             keep = [lang != UNKNOWN and rate <= max_bits for _, _, texts in slices(b) for lang, _, rate in held.value.predict(texts)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
