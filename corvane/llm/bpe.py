@@ -24,7 +24,7 @@ ASCII_SPACE = "".join(c for c in OTHER_SPACE if c < "\x80")
 
 
 class IdEncoder:
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, cache_parts: int = 100_000):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, cache_parts: int = 150_000):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
@@ -56,8 +56,8 @@ class IdEncoder:
         for parts in cut:
             if parts:
                 new.update(parts)
-        if len(self.cache) > self.cache_parts:
-            self.cache = {}
+        if len(self.cache) > self.cache_parts:  # keep what this call needs of it: mostly the frequent parts
+            self.cache = {p: self.cache[p] for p in new.intersection(self.cache)}
         cache, encode = self.cache, self.fast.encode_ordinary
         for p in new.difference(cache):
             cache[p] = array("I", encode(p if p[0] == "\n" else " " + p)).tobytes()
