@@ -8,8 +8,10 @@ different order with the same property.
 1. Documents with equal sets are one record.
 2. Postings of the first order's prefixes meet by token. Records are first compared with the most typical record of one of
    their tokens only (a star, so a large group of near copies gives as many pairs as members) and joined into components.
-3. Then every pair of records of different components that meet in a token is counted; records of one component need
-   no comparison, their link is known. A pair goes on if the number of shared prefix tokens allows the similarity.
+3. Then pairs of records of different components meet by token; records of one component need no comparison, their link is
+   known. A token makes a pair only if it stands early enough in both prefixes to be the first that two linked sets share, so
+   records that hold one passage beside much text of their own make none. A pair goes on if the tokens it met in, and all that
+   lies behind the last of them, allow the similarity.
 4. What is left must pass the same bound under each further order, and is then verified on the whole sets.
 
 No pair of different components that could link is left out, so the components are those of all links.
@@ -74,12 +76,13 @@ def need(n: int, percent: int) -> int:
 
 
 def prefix(tokens: np.ndarray, frequent: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    """The first n - need + 1 tokens in the order of `seed`: class of frequency, then hash."""
+    """The first n - need + 1 tokens in the order of `seed`: class of frequency, then hash. They come in that order."""
     n = len(tokens)
     p = n - need(n, percent) + 1 if n else 0
     shift = np.uint64(64 - (len(frequent).bit_length() - 1))
     key = (frequent[tokens >> shift].astype(np.uint64) << np.uint64(56)) | (mix(tokens ^ np.uint64(seed)) >> np.uint64(8))
-    return tokens[np.argpartition(key, p - 1)[:p]] if p < n else tokens
+    first = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
+    return tokens[first[np.lexsort((tokens[first], key[first]))]]
 
 
 def enough(shared: int, n: int, m: int, percent: int) -> bool:
@@ -231,7 +234,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     tidy(spark)
     names = recs.select("rid", "rec", "doc_id")
 
-    posts = recs.select(F.explode("p1").alias("token"), "rid", "n", "hot")
+    posts = recs.select(F.posexplode("p1").alias("i", "token"), "rid", "n", "hot")
     shared = posts.groupBy("token").agg(F.count("*").alias("k"), F.max_by("rid", "hot").alias("centre"), F.max_by("n", "hot").alias("centre_n")).where("k > 1").drop("k")
     posts = scratch.write(posts.drop("hot").join(shared, "token"), "postings")
     del shared
@@ -244,18 +247,19 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     del star
     tidy(spark)
 
-    placed = posts.select("token", "rid", "n").join(member, F.col("rid") == F.col("node"), "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("comp"))
+    placed = posts.select("token", "i", "rid", "n").join(member, F.col("rid") == F.col("node"), "left").select("token", "i", "rid", "n", F.coalesce("component", "rid").alias("comp"))
     placed = scratch.write(placed, "placed")
     scratch.free(posts, member)
     held = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("k"), F.max_by("comp", "c").alias("major")).where("k > 1").drop("k")
     open_posts = scratch.write(placed.join(held, "token"), "open")
     scratch.free(placed)
-    minor = open_posts.where("comp <> major").select("token", F.col("rid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("a_comp"))
-    every = open_posts.select("token", F.col("rid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("b_comp"), "major")
-    meet = minor.join(every, "token").where("a_comp <> b_comp and (b_comp = major or a < b)").where(fits(F.col("an"), F.col("bn")))
-    met = meet.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.max("an").alias("an"), F.max("bn").alias("bn"))
-    behind = F.greatest(*[F.ceil(F.col(x) * params.percent / 100) for x in ("an", "bn")]) - 1
-    rest = met.where((F.col("c") + behind) * (100 + params.percent) >= params.percent * (F.col("an") + F.col("bn")))
+    minor = open_posts.where("comp <> major").select("token", F.col("rid").alias("a"), F.col("n").alias("an"), (F.col("n") - F.col("i")).alias("a_left"), F.col("comp").alias("a_comp"))
+    every = open_posts.select("token", F.col("rid").alias("b"), F.col("n").alias("bn"), (F.col("n") - F.col("i")).alias("b_left"), F.col("comp").alias("b_comp"), "major")
+    reach = lambda overlap, total: overlap * (100 + params.percent) >= total * params.percent
+    left, total = F.least("a_left", "b_left"), F.col("an") + F.col("bn")  # tokens from this one on, of the set with fewer
+    meet = minor.join(every, "token").where("a_comp <> b_comp and (b_comp = major or a < b)").where(fits(F.col("an"), F.col("bn"))).where(reach(left, total))
+    met = meet.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(left).alias("left"), F.first(total).alias("total"))
+    rest = met.where(reach(F.col("c") + F.col("left") - 1, F.col("total")))
     second = linked(rest, docs, names, frequent, params, scratch)
     scratch.free(open_posts)
     del minor, every, meet, met, rest, held
