@@ -1,17 +1,21 @@
 """Toxicity by compression distance: windows of a text are compressed with a zstandard dictionary of toxic text and with one of
 ordinary text, and thresholds on how much shorter the toxic dictionary makes them are calibrated on labelled documents.
 
-Both dictionaries share one body, trained by zstandard on ordinary text, so that common words compress alike in both. In front
-of it stand, in the toxic dictionary, the spans that recur in toxic documents and that ordinary ones lack, and in the ordinary
-dictionary as many bytes of ordinary text. Equal lengths, equal parameters and equal offsets of the body make the difference
-of two compressed lengths zero unless a window holds such a span.
+Both are trained by zstandard. The ordinary one is trained on windows of ordinary documents. The toxic one is that, behind a
+part trained on stretches of toxic documents: byte spans, within words or across them, whose document frequency exceeds the
+ordinary one significantly, after a correction for the number of spans tested (trained on whole windows, that part would be
+full of the words that any text has). In front of the ordinary one stand as many of its own bytes. Equal lengths, equal
+parameters and equal offsets of the body make the difference of two compressed lengths zero unless a window holds such a span.
+Weights are fitted on documents that their dictionaries have not seen.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +32,13 @@ class Params:
     toxic_docs: int = 1000
     ordinary_docs: int = 2000
     doc_bytes: int = 1 << 16
-    window_words: int = 6
+    window_words: int = 3
     body_bytes: int = 2048
+    #: Bytes of the trained part of either dictionary, of the shortest match, and so of a span that is tested.
+    dict_bytes: int = 2048
     min_match: int = 6
-    #: A span belongs to toxic text if its likelihood ratio against ordinary text reaches this share of the highest one.
-    span_share: float = 0.25
-    least_ratio: float = 10.8
+    #: Chance that any span at all passes although the labels have nothing to do with it.
+    false_spans: float = 0.05
     #: Thresholds, in bytes saved in a window, whose counts the document's score weighs.
     thresholds: tuple[int, ...] = (2, 3, 4, 5)
 
@@ -43,19 +48,82 @@ def windows(text: str, words: int) -> list[bytes]:
     return [b" " + b" ".join(w[i : i + words]) + b" " for i in range(0, len(w), words)]
 
 
-def toxic_spans(toxic: list[str], ordinary: list[str], params: Params) -> list[bytes]:
-    """Words by document frequency whose excess in toxic documents is significant (log-likelihood ratio), strongest first."""
-    count = [Counter(w for t in set(texts) for w in set(t.lower().encode("utf-8", "replace").split())) for texts in (toxic, ordinary)]
-    p, n = max(1, len(set(toxic))), max(1, len(set(ordinary)))
-
-    def ratio(w):
-        a, b = count[0][w], count[1][w]
-        e, f = (a + b) * p / (p + n), (a + b) * n / (p + n)
-        return 2 * (a * math.log(a / e) + (b * math.log(b / f) if b else 0)) if a > e else 0.0
-
-    ratios = {w: ratio(w) for w in count[0]}
-    least = max(params.least_ratio, params.span_share * max(ratios.values(), default=0))
-    return sorted((w for w, x in ratios.items() if x >= least), key=lambda w: (-ratios[w], w))
+#: Buckets in which spans are counted, a power of two.
+BUCKET_BITS = 24
+
+
+def spans(text: bytes, size: int) -> np.ndarray:
+    """The bucket of the span of `size` bytes, 8 at most, at each place of a text."""
+    x = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(x) - size + 1)
+    v = np.zeros(n, np.uint64)
+    for i in range(size):
+        v = v << np.uint64(8) | x[i : i + n]
+    return (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def without_copies(texts: list[str]) -> list[str]:
+    """One text of each group of near copies: those that share one of the 4 least hashes of five words in a row."""
+    seen, out = set(), []
+    for t in texts:
+        w = t.lower().split()
+        grams = {" ".join(w[i : i + 5]).encode("utf-8", "replace") for i in range(max(1, len(w) - 4))}
+        least = {(i, min(zlib.crc32(g, i) for g in grams)) for i in range(4)}
+        if not least & seen:
+            out.append(t)
+        seen |= least
+    return out
+
+
+def excess(toxic: list[str], ordinary: list[str], params: Params) -> list[bytes]:
+    """The stretches of toxic documents that are covered by spans in significant excess there (log-likelihood ratio of
+    document frequencies, near copies counted once)."""
+    texts = [[b" ".join([b"", *t.lower().encode("utf-8", "replace").split(), b""]) for t in without_copies(x)] for x in (toxic, ordinary)]
+    count = np.zeros((2, 1 << BUCKET_BITS), np.uint16)
+    for side, every in zip(count, texts):
+        for t in every:
+            side[np.unique(spans(t, params.min_match))] += 1
+    held = np.flatnonzero(count.any(axis=0))
+    a, b = count[:, held].astype(float)
+    p, n = (max(1, len(x)) for x in texts)
+    e, f = (a + b) * p / (p + n), (a + b) * n / (p + n)
+    ratio = 2 * (a * np.log(np.maximum(a, 1) / e) + b * np.log(np.maximum(b, 1) / f))
+    passed = ratio >= NormalDist().inv_cdf(1 - params.false_spans / 2 / max(1, len(held))) ** 2
+    found, runs = np.zeros(1 << BUCKET_BITS, np.float32), []
+    found[held] = np.where(passed & (a > e), ratio, 0)
+    for t in texts[0]:
+        at = found[spans(t, params.min_match)]
+        around = np.pad(at, params.min_match)
+        best = np.max([around[i : i + len(at)] for i in range(2 * params.min_match + 1)], axis=0)
+        at = (at > 0) & (2 * at >= best)  # less than half of a span it overlaps: only the edge of that one
+        covered = np.zeros(len(t) + 1, bool)
+        for i in range(params.min_match):
+            covered[i : i + len(at)] |= at
+        edges = np.flatnonzero(np.diff(covered, prepend=False))
+        runs += [t[x:y] for x, y in zip(edges[::2].tolist(), edges[1::2].tolist())]
+    return runs
+
+
+def trained(size: int, samples: list[bytes], **how: int) -> bytes:
+    """The content of a dictionary that zstandard trains on samples; of too few to train on, the samples themselves."""
+    some = samples[:: max(1, len(samples) // 40_000)]
+    try:
+        return zs.train_dictionary(size, some, **how).as_bytes()
+    except zs.ZstdError:
+        return b" ".join(dict.fromkeys(some))[:size]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str], params: Params) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary, of equal length."""
+    every = [w for t in ordinary for w in windows(t, params.window_words)]
+    body = trained(params.body_bytes, every)
+    runs = excess(toxic, ordinary, params)
+    part = trained(params.dict_bytes, runs, k=32, d=6)
+    for run, _ in Counter(runs).most_common():  # the trainer passes over runs that are short or too much alike
+        if run not in part and len(part) + len(run) < params.dict_bytes + params.dict_bytes // 2:
+            part += b" " + run
+    filler = (body * (len(part) // max(1, len(body)) + 1))[: len(part)].ljust(len(part), b" ")
+    return part + body, filler + body
 
 
 class Model:
@@ -92,16 +160,10 @@ class Model:
     @classmethod
     def fit(cls, toxic: list[str], ordinary: list[str], odds: float = 1.0, params: Params = Params()) -> Model:
         """odds: how many rows a toxic and an ordinary sample row stand for, as a ratio, so that scores are probabilities."""
-        spans = b" " + b"  ".join(toxic_spans(toxic, ordinary, params)) + b" "
-        every = [w for t in ordinary for w in windows(t, params.window_words)]
-        try:
-            body = zs.train_dictionary(params.body_bytes, every[:: max(1, len(every) // 40_000)]).as_bytes()
-        except zs.ZstdError:  # too little text to train on: the text itself
-            body = b"".join(every)[: params.body_bytes]
-        filler = (body * (len(spans) // max(1, len(body)) + 1))[: len(spans)].ljust(len(spans), b" ")
-        model = cls(spans + body, filler + body, np.zeros(len(params.thresholds) + 3), params)
+        model = cls(*dictionaries(toxic, ordinary, params), np.zeros(len(params.thresholds) + 3), params)
         if toxic and ordinary:
-            x = np.array([model.features(t) for t in [*toxic, *ordinary]])
+            half = [cls(*dictionaries(toxic[i::2], ordinary[i::2], params), model.weights, params) for i in (1, 0)]  # each for the other's documents
+            x = np.array([half[i % 2].features(t) for texts in (toxic, ordinary) for i, t in enumerate(texts)])
             y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
             model.weights = logistic(x, y, np.where(y > 0, odds, 1.0))
         else:

@@ -226,6 +226,29 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert {r.predicted for r in toxicity.score(odd, none).collect()} == {0}
 
 
+def toxic_sample(seed, toxic_words, n=300):
+    """n toxic and n ordinary texts of random words; toxic_words(rng, i) gives the words put into toxic text i."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("aeiounrstlmd"), int(rng.integers(2, 8))))
+    common = [word() for _ in range(300)]
+    out = []
+    for i in range(2 * n):
+        w = [str(x) for x in rng.choice(common, 90 - 4 * (i < n))] + [word() for _ in range(30)]
+        for x in toxic_words(rng, i) if i < n else ():
+            w.insert(int(rng.integers(len(w) + 1)), x)
+        out.append(" ".join(w))
+    return out[:n], out[n:]
+
+
+def test_toxicity_finds_patterns_that_no_single_word_carries():
+    def stems(rng, i):
+        return ["vilexgrim" + "".join(rng.choice(list("aeiounrst"), 5)) + str(rng.choice(["", ".", ","])) for _ in range(4)]
+
+    model = toxicity.Model.fit(*toxic_sample(0, stems))
+    toxic, ordinary = toxic_sample(1, stems, 60)
+    assert np.mean(model.score(toxic) >= 0.7) > 0.9 and np.mean(model.score(ordinary) < 0.7) > 0.9
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_token_files_round_trip(request, spark, which):
     df = request.getfixturevalue(which)
