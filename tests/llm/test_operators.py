@@ -249,6 +249,13 @@ def test_toxicity_finds_patterns_that_no_single_word_carries():
     assert np.mean(model.score(toxic) >= 0.7) > 0.9 and np.mean(model.score(ordinary) < 0.7) > 0.9
 
 
+def test_toxicity_keeps_rare_insults_beside_common_ones():
+    common = lambda rng, i: ["grimscum", "foulratter", "slagheap"] * 2 if i >= 22 else ["snarvokkel"] * 4
+    model = toxicity.Model.fit(*toxic_sample(2, common))
+    toxic, ordinary = toxic_sample(3, lambda rng, i: ["snarvokkel"] * 4, 60)
+    assert np.mean(model.score(toxic) >= 0.7) > 0.9 and np.mean(model.score(ordinary) < 0.7) > 0.9
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_token_files_round_trip(request, spark, which):
     df = request.getfixturevalue(which)
