@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Windows of documents in the order in which the stage before wrote them, which a scan of its files doesn't keep."""
+    return packing.pack(in_written_order(docs))
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """Range-sorted by part file and place in it; unchanged where the rows don't come from files."""
+    try:
+        at = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return docs
+    return at.repartitionByRange("file", "row").sortWithinPartitions("file", "row")
 
 
 STAGES = [("language_id", language), ("quality_rules", quality), ("ngram_jaccard", near_duplicates), ("mixing", mixing_stage), ("packing", packing_stage)]

@@ -104,3 +104,10 @@ def in_training_order(mixed: DataFrame, *columns: str) -> DataFrame:
     """A row for each placement, range-sorted by position."""
     rows = mixed.select(*columns, F.explode("placements").alias("at"))
     return rows.repartitionByRange("at.position", "doc_id").sortWithinPartitions("at.position", "doc_id")
+
+
+def by_first_position(mixed: DataFrame) -> DataFrame:
+    """A row for each document, range-sorted by its first position, those never read last; placements as two arrays."""
+    rows = mixed.withColumn("positions", F.col("placements.position")).withColumn("words", F.col("placements.words"))
+    order = [F.try_element_at("positions", F.lit(1)).asc_nulls_last(), F.col("doc_id").asc()]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)

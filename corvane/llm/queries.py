@@ -52,7 +52,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mix")
     words = scratch.write(mixing.sized(table(spark, sf_dir, "documents")), "words")
-    return mixing.mix(table(spark, sf_dir, "documents"), words=words).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.by_first_position(mixing.mix(table(spark, sf_dir, "documents"), words=words)).select("doc_id", "size", "source_size", "target", "taken", "positions", "words")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -403,3 +403,30 @@ def test_pipeline(spark, tmp_path):
     assert 0 < kept.select("doc_id").distinct().count() <= docs.count()
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert sum(r.length for r in last.collect()) == sum(len(ids_of(r.text)) + 1 for r in kept.collect())
+
+
+def test_mixing_gives_positions_in_order(spark):
+    from corvane.llm import queries
+
+    rows = queries.op8_mixing(spark, SF).collect()
+    first = [r.positions[0] if r.positions else 2.0 for r in rows]
+    assert first == sorted(first) and min(first) < 2
+    assert all(r.taken == sum(r.words) and len(r.positions) == len(r.words) for r in rows)
+
+
+def test_pipeline_packs_in_the_written_order(spark, tmp_path):
+    import corpus_pipeline
+
+    key, n = "spark.sql.adaptive.coalescePartitions.enabled", 80
+    rng = np.random.default_rng(4)  # later files are larger, and a scan begins with the largest
+    rows = [(i, " ".join(map(str, rng.integers(10**6, size=20 + 20 * i)))) for i in range(n)]
+    spark.conf.set(key, "false")
+    try:
+        spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "mixed"))
+        packed = corpus_pipeline.packing_stage(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).where("start = 0").collect()
+    finally:
+        spark.conf.unset(key)
+    parts = {}
+    for r in packed:
+        parts.setdefault(r.sequence_id >> 32, []).append(r.doc_id)
+    assert len(parts) > 1 and [i for _, ids in sorted(parts.items()) for i in sorted(ids)] == list(range(n))
