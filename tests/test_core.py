@@ -212,3 +212,13 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
     assert out.stdout.split()[1] == "False", out.stderr
+
+
+def test_search_fuzzy_keeps_terms_with_other_letters_and_digits(spark, tmp_path):
+    from corvane.plans import registry
+
+    words = "étion çtion tioné tion2 tion thing thıng thin9 on ön nation tino".split()
+    spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in registry.search_fuzzy(spark, str(tmp_path)).collect()}
+    want = {(q, w, se.edits(q, w)) for q in ("thing", "tion", "on") for w in words if se.edits(q, w) <= (0 if len(q) <= 2 else 1)}
+    assert got == want and ("tion", "étion", 1) in got and ("tion", "tion2", 1) in got
