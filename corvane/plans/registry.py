@@ -130,7 +130,7 @@ INPUTS = f"""WITH {t.DOCS}, s AS (SELECT id, list_sort(list_distinct(list_filter
 
 def inputs(spark, d) -> DataFrame:
     docs = t.docs(spark, d)
-    found = F.slice(F.filter(F.concat(tx.tokens(F.col("title")), tx.tokens(F.col("body"))), lambda x: F.octet_length(x) >= 4), 1, 2000)
+    found = F.filter(F.concat(tx.tokens(F.col("title")), tx.tokens(F.col("body"))), lambda x: F.octet_length(x) >= 4)
     return docs.select("id", tx.suggest_inputs(F.col("title"), F.col("host"), F.array_sort(F.array_distinct(found))).alias("suggest_input"))
 
 

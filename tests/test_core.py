@@ -222,3 +222,12 @@ def test_search_fuzzy_keeps_terms_with_other_letters_and_digits(spark, tmp_path)
     got = {tuple(r) for r in registry.search_fuzzy(spark, str(tmp_path)).collect()}
     want = {(q, w, se.edits(q, w)) for q in ("thing", "tion", "on") for w in words if se.edits(q, w) <= (0 if len(q) <= 2 else 1)}
     assert got == want and ("tion", "étion", 1) in got and ("tion", "tion2", 1) in got
+
+
+def test_suggest_inputs_read_the_whole_text(spark, tmp_path):
+    from corvane.plans import registry
+
+    text = "title\n" + " ".join(f"word{i:05d}" for i in range(2500)) + " aardvark"
+    spark.createDataFrame([(1, text, "en", "src1")], "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert registry.suggest_inputs(spark, str(tmp_path)).first().suggest_input.startswith("aardvark|")
+    assert [r[0] for r in registry.se.suggest(registry.inputs(spark, str(tmp_path)), "aa").collect()] == ["aardvark"]
