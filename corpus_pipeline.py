@@ -21,16 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares at least 80 % of its 5-word shingles, the one with the least doc_id.
-    Rows that repeat a doc_id and its text become one; rows without a doc_id stay."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"), jaccard.Params(words=5, percent=80))
-    gone = Scratch(spark, "near").write(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    few = gone.count() <= jaccard.MOST_BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    """One document of each group linked by at least 80 % of common 5-word shingles, as jaccard.keep_one chooses it."""
+    return jaccard.keep_one(docs, jaccard.Params(words=5, percent=80))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
