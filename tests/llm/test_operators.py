@@ -430,3 +430,35 @@ def test_pipeline_packs_in_the_written_order(spark, tmp_path):
     for r in packed:
         parts.setdefault(r.sequence_id >> 32, []).append(r.doc_id)
     assert len(parts) > 1 and [i for _, ids in sorted(parts.items()) for i in sorted(ids)] == list(range(n))
+
+
+def test_toxicity_windows_and_features_against_brute_force():
+    import math
+
+    import zstandard as zs
+
+    model = toxicity.Model.fit(*toxic_sample(4, lambda rng, i: ["snarvokkel", "grimscum"] * 2))
+    text = "Some words, SNARVOKKEL and\n grimscum-like ones;  été 5 more x"
+    words = text.lower().encode().split()
+    want = []
+    for i in range(0, len(words), 3):
+        plain, out, place = b" " + b" ".join(words[i : i + 3]) + b" ", bytearray(), 0
+        for c in plain:
+            letter = c >= 0x80 or 97 <= c <= 122
+            out += bytes([c, c ^ int(toxicity.MARKS[min(place, toxicity.PLACES) if letter else toxicity.PLACES])])
+            place = place + 1 if letter else 0
+        want.append(bytes(out))
+    assert toxicity.windows(text, 3) == want and toxicity.windows(" \n", 3) == []
+    p = zs.ZstdCompressionParameters(window_log=15, hash_log=14, chain_log=14, search_log=5, min_match=6, strategy=zs.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    sizes = []
+    for d in model.dicts:
+        held = zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=p)
+        sizes.append([len(zs.ZstdCompressor(dict_data=held, compression_params=p).compress(w)) for w in want])
+    saved = [o - t for t, o in zip(*sizes)]
+    assert max(saved) >= 6 and len(model.dicts[0]) == len(model.dicts[1])
+    f = model.features(text)
+    counts = [sum(x >= t for x in saved) for t in model.params.thresholds]
+    n = len(want)
+    gain = sum(max(0, x) for x in saved)
+    assert f == pytest.approx([1.0, *map(math.log1p, counts), *[math.sqrt(c / n) for c in counts], min(20, max(saved)) / 10, math.log(n), math.sqrt(gain / n)])
