@@ -32,10 +32,11 @@ LAYOUT = {
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = 2, tokenizer: tuple[str, str, str] | None = None) -> None:
-    """Encode every document, append end_id, and write the table in ascending doc_id order (nulls first; equal ids by text).
+    """Encode every document, append end_id, and write the table in ascending doc_id order (nulls first; equal ids
+    by a hash of the text, then by the text).
 
-    One range shuffle of the texts puts them in order; each task then encodes its range as a stream and keeps a running
-    start. Null text: empty. Empty table: a table without rows. Other columns are ignored.
+    One range shuffle of the texts puts them in order, rows of one id too, so that none of them fill a task; each task then
+    encodes its range as a stream and keeps a running start. Null text: empty. Empty table: a table without rows. Other columns are ignored.
     """
     args = tokenizer or bpe.default_paths()
     end = np.array([end_id], "<u4").tobytes()
@@ -53,7 +54,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, tokenizer: tu
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), ids.slice(i, j - i), pa.array(start + ends - n), pa.array(n), lists], schema=ARROW)
                 start += int(ends[-1])
 
-    ordered = doc_columns(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = doc_columns(docs, "doc_id", "text").withColumn("print", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "print").sortWithinPartitions("doc_id", "print", "text").select("doc_id", "text")
     ordered.mapInArrow(run, DATA).write.options(**LAYOUT).parquet(f"{path}/data")
     spark = docs.sparkSession
     parts = spark.read.schema(DATA).parquet(f"{path}/data").groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"))

@@ -58,6 +58,10 @@ def test_encoder_gives_the_librarys_ids(docs):
     texts = [r[0] for r in docs.select("text").limit(60).collect()]
     texts += ["", " ", "a", " a", "a ", "a\n\nb", "a \n b", "\n", "it's I'll 12 34", "a\tb", "x　y", "<|endoftext|>x", "naïve ﬁ", "a  b   c", "\x1c \x1d", "\x85 é"]
     assert encoder.encode_many(texts) == [np.array(ids_of(t), "<u4").tobytes() for t in texts]
+    rng, signs = np.random.default_rng(5), list(" \n\t'sdtreé中ﬁ!1²　\x85aB.,")
+    odd = ["".join(rng.choice(signs, int(rng.integers(1, 14)))) for _ in range(3000)]
+    assert sum(encoder.plain(t) for t in odd) > 300
+    assert encoder.encode_many(odd) == [np.array(ids_of(t), "<u4").tobytes() for t in odd]
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
