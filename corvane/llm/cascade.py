@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, slices, small_batches
+from .common import bounded_sample, doc_columns, slices, small_batches
 
 SPACE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]")
@@ -116,12 +116,12 @@ def first_failure(f: Features, rules: list[Rule]) -> str | None:
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int = 400, sample_bytes: int = 1 << 16) -> list[str]:
-    """Names of the rules in the order in which the cascade asks them, from about `sample_docs` documents chosen by a hash.
-    The order decides the work, never the verdict."""
+    """Names of the rules in the order in which the cascade asks them, from about `sample_docs` documents chosen by a
+    hash, of `sample_bytes` at most. The order decides the work, never the verdict."""
     texts = doc_columns(docs, "doc_id", "text")
-    share = int(1e6 * min(1.0, sample_docs / max(1, texts.count())))
-    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share).where(F.octet_length("text") <= sample_bytes)
-    return [r.name for r, _, _ in plan([row[0] or "" for row in some.select("text").toLocalIterator()], rules)]
+    short = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
+    some = bounded_sample(short, sample_docs / max(1, texts.count()), 2 * sample_docs, 3)
+    return [r.name for r, _, _ in plan([row["text"] or "" for row in some], rules)]
 
 
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean"
@@ -129,7 +129,7 @@ SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_
 
 def judge(docs: DataFrame, features: bool = True) -> DataFrame:
     """A row for each document. kept is the cascade's verdict. With `features` the features are given for every document;
-    else only those that the cascade came to, the others null.
+    else only those that the cascade came to, the others null (which these are hangs on the order, so on measured times).
 
     Null text: no words, so it fails the base. Null and repeated doc_ids keep their rows. Empty table: no rows. Other
     columns are ignored.
@@ -158,7 +158,8 @@ def judge(docs: DataFrame, features: bool = True) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that pass the cascade."""
+    """The documents, all columns, that pass the cascade. Null and empty texts have too few words and go. Null ids, ties and
+    repeated rows are judged each by its text alone. Empty table: no rows."""
     names = ordered_rules(docs)
 
     def run(batches):
