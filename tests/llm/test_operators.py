@@ -466,3 +466,25 @@ def test_toxicity_windows_and_features_against_brute_force():
     n = len(want)
     gain = sum(max(0, x) for x in saved)
     assert f == pytest.approx([1.0, *map(math.log1p, counts), *[math.sqrt(c / n) for c in counts], min(20, max(saved)) / 10, math.log(n), math.sqrt(gain / n)])
+
+
+@pytest.mark.parametrize("which", ["odd", "empty", "copies"])
+def test_pipeline_stages_on_odd_rows(request, spark, which):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string"
+    text = " ".join(f"wort{i}" for i in range(40))
+    rows = [(1, text, "de", "a"), (2, text, "de", None), (None, text + " x", "de", "a"), (3, "", "de", "a"), (4, "other " * 3, None, "b"), (3, text + " tail", "de", "b"), (1, text, "de", "a")]
+    copies = spark.createDataFrame(rows, schema).select("*", *[F.lit("x").alias(c) for c in ("mark", "row", "comp", "at", "placements", "size", "position", "key")])
+    docs = copies if which == "copies" else request.getfixturevalue(which)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        n = out.count()
+        assert n <= docs.count() or name == "mixing"
+        if which == "empty":
+            assert n == 0
+    if which == "copies":
+        kept = corpus_pipeline.STAGES[2][1](spark, docs, SF)
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, text), (3, ""), (4, "other " * 3)])
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
