@@ -43,7 +43,7 @@ SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Pairs of one record that meet in one place.
 SPAN = 256
 #: Tokens that a pair must share at the beginning of both prefixes, where these are long enough to hold so many.
-SHARED = 4
+SHARED = 2
 #: Bits of the map that keeps rows which a join would drop from being shuffled: 4 MB, however many keys there are.
 MAP_BITS = 1 << 25
 
@@ -281,9 +281,11 @@ def placed(docs: DataFrame, params: Params, scratch: Scratch) -> DataFrame:
     maybe, posts = sifted(base.where("n > 0").select("row", "n", "hot", "p1"), F.col("row"), copies, F.col("copy"))
     posts = posts.unionByName(maybe.join(copies, F.col("row") == F.col("copy"), "left_anti"))
     posts = posts.select(F.posexplode("p1").alias("i", "token"), F.col("row").alias("rid"), "n", (F.shiftleft(F.least("hot", F.lit(255)), 54) + F.col("row")).alias("typical"))
-    shared = posts.groupBy("token").agg(F.min("typical").alias("low"), F.max("typical").alias("high"), F.max_by("n", "typical").alias("centre_n")).where("low < high")
+    shared = posts.groupBy("token").agg(F.count("*").alias("k"), F.max("typical").alias("high"), F.max_by("n", "typical").alias("centre_n")).where("k > 1")
     shared = shared.select("token", F.col("high").bitwiseAND((1 << 54) - 1).alias("centre"), "centre_n")
-    posts = scratch.write(posts.select("token", "i", "rid", "n").join(shared, "token"), "postings")
+    lean = posts.select("token", "rid", (F.shiftleft(F.col("n"), 31) + F.col("i")).alias("at"))  # two numbers in one column: this is the widest shuffle
+    posts = lean.join(shared, "token").select("token", F.col("at").bitwiseAND((1 << 31) - 1).alias("i"), "rid", F.shiftright("at", 31).alias("n"), "centre", "centre_n")
+    posts = scratch.write(posts, "postings")
     fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * params.percent
     reach = lambda overlap, total: overlap * (100 + params.percent) >= total * params.percent
 
@@ -349,13 +351,12 @@ def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
     rest = rows.join(best, "comp").where("row <> best.row")
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("print") == F.col("best.print"))
     rest = scratch.write(rest.select(F.col("doc_id").alias("id"), "print", same.alias("again")).distinct(), "gone").alias("gone")
-    mark = "mark"
-    while mark in docs.columns:
-        mark += "_"
-    marked = docs.withColumn(mark, F.struct("doc_id", F.xxhash64("text").alias("print")))
-    key = F.col(f"{mark}.doc_id").eqNullSafe(F.col("gone.id")) & (F.col(f"{mark}.print") == F.col("gone.print"))
-    kept = marked.join(rest.where("not gone.again"), key, "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")  # so that no names clash
+    marked = docs.select(F.struct("doc_id", F.xxhash64("text").alias("print")).alias("mark"), whole)
+    key = F.col("mark.doc_id").eqNullSafe(F.col("gone.id")) & (F.col("mark.print") == F.col("gone.print"))
+    maybe, kept = sifted(marked, F.xxhash64("mark.doc_id", "mark.print"), rest, F.xxhash64("id", "print"))
+    kept = kept.unionByName(maybe.join(rest.where("not gone.again"), key, "left_anti"))
     again = rest.where("gone.again")
     if not again.isEmpty():
-        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([mark]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(["mark"]))
+    return kept.select("whole.*")
