@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,13 @@ def mark_duplicates(docs: DataFrame) -> DataFrame:
     return joined.withColumn("duplicate_of", F.when(F.col("first_id") != F.col("id"), F.col("first_id"))).drop("first_id")
 
 
+def ingest_counters(docs: DataFrame) -> DataFrame:
+    """One row: documents without title or body are skipped before anything else; of the others, all are accepted, duplicates too."""
+    good = gate(docs)
+    kept = mark_duplicates(docs.where(good)).agg(F.count("*").alias("accepted"), F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates")).withColumn("_k", F.lit(1))
+    return kept.join(F.broadcast(docs.agg(F.count_if(~good).alias("skipped")).withColumn("_k", F.lit(1))), "_k").drop("_k")
+
+
 def latest_per_canonical(docs: DataFrame) -> DataFrame:
     """One document for each canonical address: the last fetched, the greatest id on ties."""
     best = docs.groupBy("canonical_url").agg(F.max(F.struct("fetched_at", "id")).alias("last")).select(F.col("last.id").alias("id"))
@@ -62,29 +71,42 @@ def purge_site(docs: DataFrame, domain: str) -> DataFrame:
 
 
 class Snapshots:
-    """Versions of a table as folders, with a pointer file to the current one; a reader sees a whole version or the one before."""
+    """Versions of a table as folders, each with a name of its own. A version counts once its pointer file, named by its number, is
+    there; the pointer is written under another name and renamed, so a reader sees a whole version or the one before, and a
+    writer that dies at any point leaves a folder that no pointer names. The last two versions are kept."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[int]:
+        if not self._fs.exists(self._path(f"{self.root}/versions")):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/versions"))]
+        return sorted(int(n) for n in names if n.isdigit())
+
     def version(self) -> int | None:
-        if not self._fs.exists(self._path(f"{self.root}/CURRENT")):
-            return None
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        return max(self._versions(), default=None)
+
+    def _folder(self, version: int) -> str:
+        return f"{self.root}/{self.spark.read.text(f'{self.root}/versions/{version}').first()[0]}"
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v={self.version()}")
+        return self.spark.read.parquet(self._folder(self.version()))
 
     def write(self, df: DataFrame) -> int:
-        n = (self.version() or 0) + 1
-        df.write.parquet(f"{self.root}/v={n}")
-        out = self._fs.create(self._path(f"{self.root}/NEXT"), True)
-        out.write(bytearray(f"{n}\n".encode()))
+        n, name = (self.version() or 0) + 1, uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/{name}")
+        draft = self._path(f"{self.root}/versions/_{name}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(f"{name}\n".encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.root}/CURRENT"), True)
-        self._fs.rename(self._path(f"{self.root}/NEXT"), self._path(f"{self.root}/CURRENT"))
+        if self._fs.exists(self._path(f"{self.root}/versions/{n}")) or not self._fs.rename(draft, self._path(f"{self.root}/versions/{n}")):
+            raise RuntimeError(f"another writer has made version {n} of {self.root}")
+        for old in self._versions()[:-2]:
+            self._fs.delete(self._path(self._folder(old)), True)
+            self._fs.delete(self._path(f"{self.root}/versions/{old}"), False)
         return n
 
 

@@ -11,10 +11,10 @@ from ..functions import status as st
 def claim(jobs: DataFrame, origins: DataFrame, now: Column, n: int, with_js: bool = False) -> DataFrame:
     """The jobs to hand out next: queued, ready, of a ready origin, within the origin's concurrency less what it has in flight;
     by readiness of the origin, priority and age."""
-    active = jobs.where(F.col("status").isin("claimed", "ingesting")).groupBy("origin_key").agg(F.count("*").alias("active"))
+    active = jobs.where(F.col("status").isin("claimed", "ingesting")).groupBy("owner", "origin_key").agg(F.count("*").alias("active"))
     ready = jobs.where((F.col("status") == "queued") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now)) & (F.lit(with_js) | ~F.col("requires_js")))
-    ready = ready.join(origins.where(F.col("next_allowed_at") <= now), "origin_key").join(active, "origin_key", "left")
-    rank = F.row_number().over(Window.partitionBy("origin_key").orderBy(F.col("priority").desc(), "discovered_at", "id"))
+    ready = ready.join(origins.where(F.col("next_allowed_at") <= now), ["owner", "origin_key"]).join(active, ["owner", "origin_key"], "left")
+    rank = F.row_number().over(Window.partitionBy("owner", "origin_key").orderBy(F.col("priority").desc(), "discovered_at", "id"))
     fair = ready.withColumn("rank", rank).where(F.coalesce("active", F.lit(0)) + F.col("rank") <= F.greatest("same_origin_concurrency", F.lit(1)))
     return fair.orderBy("next_allowed_at", F.col("priority").desc(), "discovered_at", "id").limit(max(1, min(100, n)))
 
@@ -31,10 +31,10 @@ def enqueue(found: DataFrame, known: DataFrame, used: DataFrame) -> DataFrame:
 def requeue_stale(jobs: DataFrame, now: Column, timeout_s: int, status: str, reason: str) -> DataFrame:
     """Jobs stuck in `status` go back to the queue in 30 s, or to the dead letters once their attempts are used up."""
     stale = (F.col("status") == status) & (F.col("claimed_at") < now - F.make_dt_interval(secs=F.lit(timeout_s)))
-    spent = F.col("attempt_count") >= F.col("max_attempts")
+    spent = F.greatest("attempt_count", F.lit(1)) >= F.greatest("max_attempts", F.lit(1))
     return jobs.select(
         "id", F.when(stale, F.when(spent, "dead_letter").otherwise("queued")).otherwise(F.col("status")).alias("status"),
-        F.when(stale & ~spent, now + F.make_dt_interval(secs=F.lit(30))).alias("next_retry_at"), F.when(stale & spent, reason).alias("failure_kind"),
+        F.when(stale & spent, None).when(stale, now + F.make_dt_interval(secs=F.lit(30))).otherwise(F.col("next_retry_at")).alias("next_retry_at"), F.when(stale & spent, reason).alias("failure_kind"),
     )
 
 

@@ -13,7 +13,7 @@ from ..functions import text as tx
 K1, B = 1.2, 0.75
 FIELDS = ("title", "snippet", "body", "display_url")
 #: Boosts of the clauses: all terms in one field, a phrase whose last word is a prefix, any term in the address.
-ALL_TERMS, PHRASE, ADDRESS = {"title": 10.0, "snippet": 3.0, "body": 1.0}, {"title": 12.0, "snippet": 4.0}, 0.5
+ALL_TERMS, PHRASE, ADDRESS = {"title": 10.0, "snippet": 3.0, "body": 1.0}, {"title": 12.0, "snippet": 3.0}, 0.5
 
 
 @dataclass(frozen=True)

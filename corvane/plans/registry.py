@@ -53,7 +53,7 @@ def search_sql(p: se.SearchParams, where: str = "true", clauses: tuple[str, ...]
     fields = " UNION ALL ".join(f"SELECT id, '{f}' AS field, regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM docs" for f in se.FIELDS)
     boosts = " ".join(f"WHEN '{f}' THEN {b}" for f, b in se.ALL_TERMS.items())
     phrase = " " + " ".join(p.terms)
-    hits = ", ".join(f"CASE WHEN contains(' ' || array_to_string(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+'), ' '), '{phrase}') THEN {b} ELSE 0.0 END" for f, b in se.PHRASE.items())
+    hits = ", ".join(f"CASE WHEN contains(' ' || array_to_string(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+'), ' '), '{phrase}') THEN {b} ELSE 0.0 END" for f, b in (("title", "12.0"), ("snippet", "3.0")))
     parts = {
         "all": f"SELECT id, max(s) AS score FROM (SELECT id, field, count(*) AS k, sum(score) * CASE field {boosts} END AS s FROM scored WHERE field <> 'display_url' GROUP BY id, field) WHERE k = {len(p.terms)} GROUP BY id",
         "phrase": f"SELECT id, score FROM (SELECT id, greatest({hits})::DOUBLE AS score FROM docs) WHERE score > 0",
@@ -205,9 +205,9 @@ def url_parts(spark, d):
     return t.read(spark, d, "pages").select("page_id", urls.host(u).alias("host"), urls.origin(u).alias("origin"), urls.display(u).alias("display"), urls.network(u).alias("network"), scope("same_domain").alias("in_domain"), scope("same_host").alias("same_host"))
 
 
-@query(f"SELECT page_id, regexp_replace(split_part(split_part(url, '://', 2), '/', 1), ':[0-9]+$', '') AS host, md5(html) AS legacy_hash, sha256(html) AS content_hash FROM pages")
+@query(f"SELECT page_id, lower(regexp_replace(split_part(split_part(url, '://', 2), '/', 1), ':[0-9]+$', '')) AS host, md5(html) AS legacy_hash, sha256(html) AS content_hash FROM pages")
 def url_sql_host(spark, d):
-    host = F.regexp_replace(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)), ":[0-9]+$", "")
+    host = F.lower(F.regexp_replace(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)), ":[0-9]+$", ""))
     return t.read(spark, d, "pages").select("page_id", host.alias("host"), F.md5(F.col("html").cast("binary")).alias("legacy_hash"), F.sha2(F.col("html").cast("binary"), 256).alias("content_hash"))
 
 
@@ -311,10 +311,10 @@ def dedup_exact(spark, d):
     return dx.mark_duplicates(t.docs(spark, d)).select("id", "duplicate_of")
 
 
-@query(f"{DUP} SELECT count(*)::BIGINT AS accepted, count(*) FILTER (WHERE f <> id)::BIGINT AS duplicates, count(*) FILTER (WHERE trim(title) = '' OR trim(body) = '')::BIGINT AS skipped FROM m")
+@query(f"""WITH {t.DOCS}, x AS (SELECT *, id % 10 = 4 OR trim(title) = '' OR trim(body) = '' AS bad FROM docs), m AS (SELECT *, first_value(id) OVER (PARTITION BY content_hash ORDER BY fetched_at, id) AS f FROM x WHERE NOT bad)
+ SELECT count(*)::BIGINT AS accepted, count(*) FILTER (WHERE f <> id)::BIGINT AS duplicates, (SELECT count(*) FROM x WHERE bad)::BIGINT AS skipped FROM m""")
 def ingest_counters(spark, d):
-    m = dx.mark_duplicates(t.docs(spark, d))
-    return m.agg(F.count("*").alias("accepted"), F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates"), F.count_if(~dx.gate(m)).alias("skipped"))
+    return dx.ingest_counters(t.docs(spark, d).withColumn("title", F.when(F.col("id") % 10 != 4, F.col("title"))))
 
 
 @query(f"WITH {t.DOCS}, c AS (SELECT *, host || '/' || id % 50 AS page FROM docs) SELECT page, arg_max(id, (fetched_at, id)) AS id FROM c GROUP BY page")
@@ -348,12 +348,12 @@ def facet_language(spark, d):
 # ---- jobs and origins
 
 
-@query(f"""WITH {t.JOBS}, {t.ORIGINS}, a AS (SELECT origin_key, count(*) AS active FROM jobs WHERE status IN ('claimed', 'ingesting') GROUP BY 1),
- r AS (SELECT jobs.*, next_allowed_at, coalesce(active, 0) AS active, row_number() OVER (PARTITION BY origin_key ORDER BY priority DESC, discovered_at, id) AS rank FROM jobs JOIN origins USING (origin_key) LEFT JOIN a USING (origin_key)
+@query(f"""WITH {t.JOBS}, {t.ORIGINS}, a AS (SELECT owner, origin_key, count(*) AS active FROM jobs WHERE status IN ('claimed', 'ingesting') GROUP BY 1, 2),
+ r AS (SELECT jobs.*, next_allowed_at, coalesce(active, 0) AS active, row_number() OVER (PARTITION BY owner, origin_key ORDER BY priority DESC, discovered_at, id) AS rank FROM jobs JOIN origins USING (owner, origin_key) LEFT JOIN a USING (owner, origin_key)
  WHERE status = 'queued' AND (next_retry_at IS NULL OR next_retry_at <= {NOW}) AND NOT requires_js AND next_allowed_at <= {NOW})
  SELECT id, origin_key, rank::BIGINT AS rank FROM r WHERE active + rank <= greatest(same_origin_concurrency, 1) ORDER BY next_allowed_at, priority DESC, discovered_at, id LIMIT 100""")
 def claim_frontier(spark, d):
-    return fr.claim(t.jobs(spark, d), t.origins(spark, d).drop("owner"), t.now(), 100).select("id", "origin_key", F.col("rank").cast("long").alias("rank"))
+    return fr.claim(t.jobs(spark, d), t.origins(spark, d), t.now(), 100).select("id", "origin_key", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH f AS (SELECT l_suppkey % 50 AS owner, 'https://example.com/' || l_partkey AS url, min(l_orderkey * 10 + l_linenumber) AS position FROM lineitem GROUP BY 1, 2),
@@ -399,8 +399,8 @@ def origin_update(spark, d):
 
 def stale_sql(status: str, reason: str) -> str:
     stale = f"(status = '{status}' AND claimed_at < {NOW} - to_seconds(300))"
-    return f"""WITH {t.JOBS} SELECT id, CASE WHEN coalesce({stale}, false) THEN CASE WHEN attempt_count >= max_attempts THEN 'dead_letter' ELSE 'queued' END ELSE status END AS status,
-    CASE WHEN {stale} AND attempt_count < max_attempts THEN {sql_stamp(NOW + " + to_seconds(30)")} END AS next_retry_at, CASE WHEN {stale} AND attempt_count >= max_attempts THEN '{reason}' END AS failure_kind FROM jobs"""
+    return f"""WITH {t.JOBS} SELECT id, CASE WHEN coalesce({stale}, false) THEN CASE WHEN greatest(attempt_count, 1) >= greatest(max_attempts, 1) THEN 'dead_letter' ELSE 'queued' END ELSE status END AS status,
+    CASE WHEN {stale} THEN CASE WHEN greatest(attempt_count, 1) < greatest(max_attempts, 1) THEN '2024-01-31 00:00:30' END ELSE {sql_stamp('next_retry_at')} END AS next_retry_at, CASE WHEN {stale} AND greatest(attempt_count, 1) >= greatest(max_attempts, 1) THEN '{reason}' END AS failure_kind FROM jobs"""
 
 
 @query(stale_sql("claimed", "claim_timeout"))
@@ -495,9 +495,10 @@ def change_frequency(spark, d):
     return fr.change_frequency(checks).select("id", F.round("hours", 6).alias("hours"))
 
 
-@query(f"WITH {t.JOBS}, {t.ORIGINS} SELECT origin_key FROM origins WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE jobs.origin_key = origins.origin_key)")
+@query(f"WITH {t.JOBS}, {t.ORIGINS} SELECT origin_key FROM origins WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE jobs.owner = origins.owner AND jobs.origin_key = origins.origin_key AND status <> 'succeeded')")
 def orphan_origins(spark, d):
-    return t.origins(spark, d).join(t.jobs(spark, d), "origin_key", "left_anti").select("origin_key")
+    work = t.jobs(spark, d).where("status <> 'succeeded'")
+    return t.origins(spark, d).join(work, ["owner", "origin_key"], "left_anti").select("origin_key")
 
 
 @query(f"SELECT page_id FROM pages WHERE {HOST} = 'spam-farm.example.org' OR {HOST} LIKE '%.spam-farm.example.org' OR {HOST} = 'cheap-pills.example.com' OR {HOST} LIKE '%.cheap-pills.example.com'")

@@ -57,12 +57,12 @@ JOBS = f"""jobs AS (SELECT o_orderkey AS id, o_custkey AS origin_key, o_custkey
 def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     return c.select(
-        F.col("c_custkey").alias("origin_key"), F.col("c_nationkey").alias("owner"), (now() + F.make_dt_interval(secs=F.floor("c_acctbal") - 2000)).alias("next_allowed_at"),
+        F.col("c_custkey").alias("origin_key"), (F.col("c_custkey") % 25).alias("owner"), (now() + F.make_dt_interval(secs=F.floor("c_acctbal") - 2000)).alias("next_allowed_at"),
         (F.col("c_custkey") % 4).alias("in_flight_count"), (F.col("c_custkey") % 6).alias("consecutive_failures"),
     )
 
 
-ORIGINS = f"""origins AS (SELECT c_custkey AS origin_key, c_nationkey AS owner, TIMESTAMP '{NOW_TEXT}' + to_seconds((floor(c_acctbal) - 2000)::INT) AS next_allowed_at,
+ORIGINS = f"""origins AS (SELECT c_custkey AS origin_key, c_custkey % 25 AS owner, TIMESTAMP '{NOW_TEXT}' + to_seconds((floor(c_acctbal) - 2000)::INT) AS next_allowed_at,
  c_custkey % 4 AS in_flight_count, c_custkey % 6 AS consecutive_failures FROM customer)"""
 
 

@@ -194,7 +194,13 @@ class Robots:
         return [x for r in own or [r for names, r in self.groups if "*" in names] for x in r]
 
     def delay(self, agent: str) -> int | None:
-        return next((int(v) for k, v in self.rules(agent) if k == "crawl-delay" and v.isdigit()), None)
+        """Of the first group for the agent that has a delay, or else of the first for all agents, the last whole number."""
+        for name in (agent.lower(), "*"):
+            for names, rules in self.groups:
+                found = [int(v) for k, v in rules if k == "crawl-delay" and v.isascii() and v.isdigit()]
+                if name in names and found:
+                    return found[-1]
+        return None
 
     def allowed(self, agent: str, path: str) -> bool:
         best = (-1, True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import status as st
 from ..functions import text as tx
-from ..operators.documents import Snapshots, mark_duplicates, upsert
+from ..operators.documents import Snapshots, mark_duplicates
 
 REPORT = (
     "lease_id string, job_id string, url string, final_url string, status_code int, fetched_at timestamp_ntz, title string, body string, error_kind string, "
@@ -22,26 +22,42 @@ def classified(reports: DataFrame) -> DataFrame:
     return once.withColumn("indexable", has_text & ~F.coalesce(tx.is_spam(F.col("body")), F.lit(True))).withColumn("outcome", st.outcome())
 
 
-def project(batch: DataFrame, documents: Snapshots, jobs: Snapshots) -> None:
-    """Apply one micro-batch. A batch that comes again changes nothing: rows are keyed by what they are about."""
+def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last row of each key, by an aggregation."""
+    best = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(F.col(key).alias("_key")).agg(best.alias("x")).select("x.*")
+
+
+def project(batch: DataFrame, documents: Snapshots, jobs: Snapshots, quarantine: str | None = None, batch_id: int = 0) -> None:
+    """Apply one micro-batch. A batch that comes again changes nothing: rows are keyed by what they are about, and an older report
+    never replaces a newer one. Reports that can't be applied (unreadable, or without job, lease, time or address) are written to
+    `quarantine`, a folder for each batch, and hold nothing else up."""
     spark = batch.sparkSession
-    c = classified(batch).persist()
+    whole = F.col("lease_id").isNotNull() & F.col("job_id").isNotNull() & F.col("fetched_at").isNotNull() & F.col("final_url").isNotNull()
+    if "_corrupt_record" in batch.columns:
+        whole &= F.col("_corrupt_record").isNull()
+    batch = batch.persist()
     try:
+        if quarantine and not (bad := batch.where(~whole)).isEmpty():
+            bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        c = classified(batch.where(whole))
         state = c.select("job_id", "lease_id", "outcome", "fetched_at")
-        jobs.write(upsert(jobs.read(), state, "job_id") if jobs.version() else state)
-        new = c.where("outcome = 'succeeded'").select(F.sha2("final_url", 256).alias("id"), F.col("final_url").alias("canonical_url"), "title", "body", "fetched_at", F.sha2("body", 256).alias("content_hash"))
-        gone = c.where("outcome = 'gone'").select(F.sha2("final_url", 256).alias("id"))
-        new = new.groupBy("id").agg(F.max_by(F.struct(*new.columns), "fetched_at").alias("x")).select("x.*")
-        old = documents.read().drop("duplicate_of") if documents.version() else spark.createDataFrame([], new.schema)
-        documents.write(mark_duplicates(upsert(old, new, "id").join(gone, "id", "left_anti")))
+        known = jobs.read().unionByName(state) if jobs.version() else state
+        jobs.write(latest(known, "job_id", "fetched_at", "lease_id"))
+        seen = c.where(F.col("outcome").isin("succeeded", "gone")).select(
+            F.sha2("final_url", 256).alias("id"), F.col("final_url").alias("canonical_url"), "title", "body", "fetched_at", F.sha2("body", 256).alias("content_hash"), (F.col("outcome") == "gone").alias("gone")
+        )
+        if documents.version():
+            seen = documents.read().drop("duplicate_of").withColumn("gone", F.lit(False)).unionByName(seen)
+        documents.write(mark_duplicates(latest(seen, "id", "fetched_at", "gone").where("not gone").drop("gone")))
     finally:
-        c.unpersist()
+        batch.unpersist()
 
 
-def start_projector(spark: SparkSession, source: str, documents: Snapshots, jobs: Snapshots, checkpoint: str, files: int = 64, available_now: bool = True):
+def start_projector(spark: SparkSession, source: str, documents: Snapshots, jobs: Snapshots, checkpoint: str, files: int = 64, available_now: bool = True, quarantine: str | None = None):
     """Read staged report files as a stream; each micro-batch goes through project()."""
-    reports = spark.readStream.schema(REPORT).option("maxFilesPerTrigger", files).json(source)
-    writer = reports.writeStream.foreachBatch(lambda df, _: project(df, documents, jobs)).option("checkpointLocation", checkpoint)
+    reports = spark.readStream.schema(f"{REPORT}, _corrupt_record string").option("maxFilesPerTrigger", files).json(source)
+    writer = reports.writeStream.foreachBatch(lambda df, n: project(df, documents, jobs, quarantine, n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")).start()
 
 

@@ -81,8 +81,9 @@ def test_outcome(spark, row, want):
 def test_claim_never_exceeds_concurrency(spark):
     jobs = [("a1", "A", "claimed", 80, 1, None, False), ("a2", "A", "queued", 80, 1, None, False), ("b1", "B", "queued", 80, 2, None, False), ("b2", "B", "queued", 77, 2, None, False), ("b3", "B", "queued", 77, 2, None, False),
             ("c1", "C", "queued", 80, 2, None, False), ("d1", "D", "queued", 80, 2, NOW + dt.timedelta(days=1), False), ("d2", "D", "queued", 80, 2, None, True)]
-    df = spark.createDataFrame([(*j, NOW) for j in jobs], "id string, origin_key string, status string, priority int, same_origin_concurrency int, next_retry_at timestamp_ntz, requires_js boolean, discovered_at timestamp_ntz")
-    origins = spark.createDataFrame([(o, NOW + dt.timedelta(days=1 if o == "C" else -1)) for o in "ABCD"], "origin_key string, next_allowed_at timestamp_ntz")
+    df = spark.createDataFrame([(*j, NOW, "me") for j in jobs], "id string, origin_key string, status string, priority int, same_origin_concurrency int, next_retry_at timestamp_ntz, requires_js boolean, discovered_at timestamp_ntz, owner string")
+    known = [(o, NOW + dt.timedelta(days=1 if o == "C" else -1), who) for o in "ABCD" for who in ("me", "you")]  # an origin that two owners know
+    origins = spark.createDataFrame(known, "origin_key string, next_allowed_at timestamp_ntz, owner string")
     now = F.expr("timestamp_ntz'2024-01-31 00:00:00'")
     assert [r.id for r in fr.claim(df, origins, now, 10).collect()] == ["b1", "b2"]
     assert {r.id for r in fr.claim(df, origins, now, 10, with_js=True).collect()} == {"b1", "b2", "d2"}
@@ -96,9 +97,11 @@ def test_enqueue_budget(spark):
 
 def test_stale_and_health(spark):
     now = F.expr("timestamp_ntz'2024-01-31 00:00:00'")
-    rows = [("a", "claimed", NOW - dt.timedelta(seconds=301), 2, 3), ("b", "claimed", NOW - dt.timedelta(seconds=301), 3, 3), ("c", "claimed", NOW - dt.timedelta(seconds=299), 3, 3)]
-    df = spark.createDataFrame(rows, "id string, status string, claimed_at timestamp_ntz, attempt_count int, max_attempts int")
-    assert {r.id: r.status for r in fr.requeue_stale(df, now, 300, "claimed", "claim_timeout").collect()} == {"a": "queued", "b": "dead_letter", "c": "claimed"}
+    rows = [("a", "claimed", NOW - dt.timedelta(seconds=301), 2, 3, None), ("b", "claimed", NOW - dt.timedelta(seconds=301), 3, 3, None), ("c", "claimed", NOW - dt.timedelta(seconds=299), 3, 3, None), ("d", "queued", None, 0, 3, NOW)]
+    df = spark.createDataFrame(rows, "id string, status string, claimed_at timestamp_ntz, attempt_count int, max_attempts int, next_retry_at timestamp_ntz")
+    retry = {r.id: r.next_retry_at for r in fr.requeue_stale(df, now, 300, "claimed", "claim_timeout").collect()}
+    assert retry == {"a": NOW + dt.timedelta(seconds=30), "b": None, "c": None, "d": NOW}
+    assert {r.id: r.status for r in fr.requeue_stale(df, now, 300, "claimed", "claim_timeout").collect()} == {"a": "queued", "b": "dead_letter", "c": "claimed", "d": "queued"}
     for fails, want in ((4, "healthy"), (5, "degraded"), (9, "degraded"), (10, "unhealthy")):
         ev = [("d", NOW + dt.timedelta(seconds=i), i, i == 0) for i in range(fails + 1)]
         e = spark.createDataFrame(ev, "domain string, at timestamp_ntz, id int, ok boolean")
@@ -147,6 +150,7 @@ def test_robots():
     r = web.Robots("User-agent: ours # us\nCrawl-delay: 5\nUser-agent: *\nCrawl-delay: 2\nDisallow: /private\nAllow: /private/open\nSitemap: https://e.com/b\nSitemap: https://e.com/a")
     assert r.delay("ours") == 5 and r.delay("other") == 2 and r.sitemaps == ["https://e.com/a", "https://e.com/b"]
     assert r.allowed("other", "/private/open/x") and not r.allowed("other", "/private/x") and r.allowed("ours", "/private/x")
+    assert web.Robots("User-agent: ours\nDisallow: /x\nUser-agent: *\nCrawl-delay: 4").delay("ours") == 4  # its own group has none
     assert web.Robots("User-agent: a\nUser-agent: b\nCrawl-delay: 4").delay("b") == 4 and web.Robots("User-agent: a\nCrawl-delay: 4").delay("b") is None
 
 
@@ -231,3 +235,30 @@ def test_suggest_inputs_read_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "src1")], "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert registry.suggest_inputs(spark, str(tmp_path)).first().suggest_input.startswith("aardvark|")
     assert [r[0] for r in registry.se.suggest(registry.inputs(spark, str(tmp_path)), "aa").collect()] == ["aardvark"]
+
+
+def test_a_writer_that_dies_before_its_pointer_leaves_the_table_whole(spark, tmp_path):
+    table = dx.Snapshots(spark, f"file://{tmp_path}/t")
+    assert table.version() is None
+    assert table.write(spark.range(3)) == 1
+    spark.range(9).write.parquet(f"file://{tmp_path}/t/{'0' * 32}")  # data without a pointer
+    (tmp_path / "t/versions/_draft").write_text("0" * 32)
+    assert table.version() == 1 and table.read().count() == 3
+    for n in (2, 3, 4):
+        assert table.write(spark.range(n)) == n
+    assert table.read().count() == 4 and len([p for p in (tmp_path / "t/versions").iterdir() if p.name.isdigit()]) == 2
+
+
+def test_projector_quarantines_and_never_goes_back(spark, tmp_path):
+    from corvane.streaming import ingest
+
+    body = " ".join(f"word{i}." if i % 9 == 0 else f"word{i}" for i in range(40))
+    row = {"job_id": "j", "url": "https://e.com/", "final_url": "https://e.com/", "status_code": 200, "title": "new", "body": body, "attempt_count": 1, "max_attempts": 3}
+    new, old, nameless = row | {"lease_id": "b", "fetched_at": "2024-01-02 00:00:00"}, row | {"lease_id": "a", "title": "old", "fetched_at": "2024-01-01 00:00:00"}, row | {"lease_id": None, "fetched_at": "2024-01-03 00:00:00"}
+    docs, jobs = (dx.Snapshots(spark, f"file://{tmp_path}/{n}") for n in ("docs", "jobs"))
+    (tmp_path / "in").mkdir()
+    for n, lines in enumerate(([json.dumps(new), "{broken", json.dumps(nameless)], [json.dumps(old)])):
+        (tmp_path / f"in/{n}.json").write_text("\n".join(lines))
+        ingest.start_projector(spark, f"file://{tmp_path}/in", docs, jobs, f"file://{tmp_path}/ck", quarantine=f"file://{tmp_path}/bad").awaitTermination()
+    assert [r.title for r in docs.read().collect()] == ["new"] and [r.lease_id for r in jobs.read().collect()] == ["b"]
+    assert spark.read.parquet(f"file://{tmp_path}/bad").count() == 2
