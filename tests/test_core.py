@@ -262,3 +262,30 @@ def test_projector_quarantines_and_never_goes_back(spark, tmp_path):
         ingest.start_projector(spark, f"file://{tmp_path}/in", docs, jobs, f"file://{tmp_path}/ck", quarantine=f"file://{tmp_path}/bad").awaitTermination()
     assert [r.title for r in docs.read().collect()] == ["new"] and [r.lease_id for r in jobs.read().collect()] == ["b"]
     assert spark.read.parquet(f"file://{tmp_path}/bad").count() == 2
+
+
+def test_an_offline_crawl_as_files(spark, tmp_path):
+    from corvane.sources import batch
+
+    root = f"file://{tmp_path}"
+    (tmp_path / "seeds.json").write_text(json.dumps({"seeds": [{"name": "a", "url": "https://a.com/", "sitemap": "https://a.com/map"}, {"name": "b", "url": "https://b.com/"}]}))
+    seeds = batch.read_seeds(spark, f"{root}/seeds.json")
+    page = '<html><head><title>T</title></head><body><main><p>' + "some words here " * 30 + '</p><a href="https://b.com/">b</a><a href="/x">x</a><a href="/y">y</a></main></body></html>'
+    pages = spark.createDataFrame([("https://a.com/", page)], "url string, html string")
+    xml = "<urlset><url><loc>https://a.com/s1</loc></url><url><loc>https://a.com/s2</loc></url><url><loc>https://a.com/s3</loc></url></urlset>"
+    maps = spark.createDataFrame([("https://a.com/map", bytearray(xml.encode()))], "url string, raw binary")
+    found = [tuple(r) for r in batch.discover(seeds, pages, maps, 2).collect()]
+    assert found == [("https://a.com/", "a"), ("https://a.com/s1", "a"), ("https://a.com/s2", "a"), ("https://a.com/x", "a"), ("https://a.com/y", "a"), ("https://b.com/", "b")]
+    batch.write_frontier(spark.createDataFrame([(u, s, "2024-01-01") for u, s in found], batch.FRONTIER).coalesce(1), f"{root}/frontier")
+    assert [r.url for r in batch.read_frontier(spark, f"{root}/frontier", 2).collect()] == [u for u, _ in found[:2]]
+    (tmp_path / "crawl").mkdir()
+    (tmp_path / "crawl/1.html").write_text(page)
+    (tmp_path / "crawl/2.html").write_text("<html></html>")
+    lines = [{"url": f"https://a.com/{i}", "fetched_at": "2024-01-01", "content_type": "text/html", "storage_path": f"{i}.html"} for i in (1, 2, 3)]
+    (tmp_path / "crawl/manifest.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    built = batch.build_index(batch.read_pages(spark, f"{root}/crawl"))
+    assert [(r.url, r.title, r.word_count >= 90) for r in built.collect()] == [("https://a.com/1", "T", True)]
+    batch.write_index(built, f"{root}/index")
+    assert batch.read_index(spark, f"{root}/index").count() == 1 and batch.read_index(spark, f"{root}/none").count() == 0
+    (tmp_path / "array.json").write_text(json.dumps([{"id": "1"}, {"id": "2"}]))
+    assert batch.read_index(spark, f"{root}/array.json").count() == 2
