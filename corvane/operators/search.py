@@ -131,6 +131,22 @@ def search(docs: DataFrame, p: SearchParams, now: Column, clauses: tuple[str, ..
     return F.broadcast(top).join(shown, "id")  # a page of 20 rows at most
 
 
+#: Fixed value: how deep a page may lie.
+MOST_RESULTS = 10_000
+
+
+def respond(docs: DataFrame, p: SearchParams, now: Column) -> dict:
+    """A page as a plain mapping: results (20 at most), the total, and the offset of the next page, null on the last. A query
+    without a word and a page beyond MOST_RESULTS find nothing. Errors are raised, not turned into empty pages."""
+    corrected = docs.sparkSession.range(1).select(tx.correct_spelling(F.lit(p.q))).first()[0]
+    if not p.terms or p.offset + p.limit > MOST_RESULTS:
+        return {"query": p.q, "results": [], "total": 0, "next_offset": None, "did_you_mean": corrected}
+    total = scored_documents(docs, p, now).count()
+    rows = [r.asDict() | {"score": r["score"] or 0.0} for r in search(docs, p, now).orderBy(F.col("score").desc(), F.col("fetched_at").desc(), "id").collect()]  # 20 at most
+    after = max(0, p.offset) + len(rows)
+    return {"query": p.q, "results": rows, "total": total, "next_offset": after if after < total else None, "did_you_mean": corrected}
+
+
 def fuzzy_terms(vocabulary: DataFrame, terms: list[str], most: int = 50) -> DataFrame:
     """(query_term, term, distance): words of the index within 0, 1 or 2 edits by the query word's length; a swap is one edit."""
     @F.pandas_udf("int")
@@ -140,7 +156,8 @@ def fuzzy_terms(vocabulary: DataFrame, terms: list[str], most: int = 50) -> Data
     q = vocabulary.sparkSession.createDataFrame([(t,) for t in terms], "query_term string")
     allowed = F.when(F.length("query_term") <= 2, 0).when(F.length("query_term") <= 5, 1).otherwise(2)
     near = vocabulary.select("term").distinct().join(F.broadcast(q), F.abs(F.length("term") - F.length("query_term")) <= allowed)  # a few query words
-    near = near.withColumn("distance", osa("query_term", "term")).where(F.col("distance") <= allowed)
+    plain = F.levenshtein("query_term", "term", 4)  # a swap is two edits there, so no more than twice as many; -1 beyond 4
+    near = near.where(plain.between(0, 2 * allowed)).withColumn("distance", osa("query_term", "term")).where(F.col("distance") <= allowed)
     order = Window.partitionBy("query_term").orderBy("distance", "term")
     return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
 

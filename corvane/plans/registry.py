@@ -51,22 +51,22 @@ def search_sql(p: se.SearchParams, where: str = "true", clauses: tuple[str, ...]
     """The documented ranking formula as SQL."""
     terms = ", ".join(f"'{x}'" for x in p.terms)
     fields = " UNION ALL ".join(f"SELECT id, '{f}' AS field, regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM docs" for f in se.FIELDS)
-    boosts = " ".join(f"WHEN '{f}' THEN {b}" for f, b in se.ALL_TERMS.items())
+    boosts = "WHEN 'title' THEN 10.0 WHEN 'snippet' THEN 3.0 WHEN 'body' THEN 1.0"
     phrase = " " + " ".join(p.terms)
     hits = ", ".join(f"CASE WHEN contains(' ' || array_to_string(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+'), ' '), '{phrase}') THEN {b} ELSE 0.0 END" for f, b in (("title", "12.0"), ("snippet", "3.0")))
     parts = {
         "all": f"SELECT id, max(s) AS score FROM (SELECT id, field, count(*) AS k, sum(score) * CASE field {boosts} END AS s FROM scored WHERE field <> 'display_url' GROUP BY id, field) WHERE k = {len(p.terms)} GROUP BY id",
         "phrase": f"SELECT id, score FROM (SELECT id, greatest({hits})::DOUBLE AS score FROM docs) WHERE score > 0",
-        "address": f"SELECT id, sum(score) * {se.ADDRESS} AS score FROM scored WHERE field = 'display_url' GROUP BY id",
+        "address": f"SELECT id, sum(score) * 0.5 AS score FROM scored WHERE field = 'display_url' GROUP BY id",
     }
     final = final or f"""SELECT id, round(score, 6) AS score, title, canonical_url, {sql_stamp('fetched_at')} AS fetched_at FROM ranked
         ORDER BY round(score, 6) DESC, ranked.fetched_at DESC, id LIMIT {p.limit} OFFSET {p.offset}"""
     return f"""WITH {t.DOCS}, f AS ({fields}), stats AS (SELECT field, count(*) AS n, avg(len(tokens)) AS avgdl FROM f WHERE len(tokens) > 0 GROUP BY field),
     posts AS (SELECT field, term, id, dl, count(*) AS tf FROM (SELECT id, field, len(tokens) AS dl, unnest(tokens) AS term FROM f) WHERE term IN ({terms}) GROUP BY ALL),
     df AS (SELECT field, term, count(*) AS df FROM posts GROUP BY ALL),
-    scored AS (SELECT id, field, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * {se.K1 + 1} / (tf + {se.K1} * (1 - {se.B} + {se.B} * dl / avgdl))) AS score FROM posts JOIN df USING (field, term) JOIN stats USING (field)),
+    scored AS (SELECT id, field, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM posts JOIN df USING (field, term) JOIN stats USING (field)),
     total AS (SELECT id, sum(score) AS text_score FROM ({' UNION ALL '.join(parts[c] for c in clauses)}) GROUP BY id),
-    ranked AS (SELECT docs.*, text_score * exp(ln(0.3) / 60.0 * greatest(0.0, abs(epoch({NOW}) - epoch(fetched_at)) / 86400.0 - 7.0)) AS score FROM total JOIN docs USING (id) WHERE {where})
+    ranked AS (SELECT docs.*, text_score * 2.0 * coalesce(site_authority, 0.5) * exp(ln(0.3) / 60.0 * greatest(0.0, abs(epoch({NOW}) - epoch(fetched_at)) / 86400.0 - 7.0)) AS score FROM total JOIN docs USING (id) WHERE {where})
     {final}"""
 
 
@@ -116,16 +116,17 @@ def search_batch(spark, d):
     return hits.join(sizes, "item_id").where("c = k").groupBy("item_id").agg(F.count("*").alias("hits"))
 
 
+# DuckDB counts bytes, so every letter that the query words can't have becomes one byte
 @query("""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
  q AS (SELECT unnest(['thing', 'tion', 'on']) AS query_term)
- SELECT query_term, term, damerau_levenshtein(query_term, term)::BIGINT AS distance FROM v, q WHERE regexp_matches(term, '^[a-z]+$') AND damerau_levenshtein(query_term, term) <= CASE WHEN length(query_term) <= 2 THEN 0 ELSE 1 END""")
+ SELECT query_term, term, damerau_levenshtein(query_term, regexp_replace(term, '[^a-z]', '?', 'g'))::BIGINT AS distance FROM v, q WHERE damerau_levenshtein(query_term, regexp_replace(term, '[^a-z]', '?', 'g')) <= CASE WHEN length(query_term) <= 2 THEN 0 ELSE 1 END""")
 def search_fuzzy(spark, d):
     words = t.read(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
     return se.fuzzy_terms(words, ["thing", "tion", "on"], most=10**6).select("query_term", "term", F.col("distance").cast("long").alias("distance"))
 
 
 INPUTS = f"""WITH {t.DOCS}, s AS (SELECT id, list_sort(list_distinct(list_filter(list_concat([lower(title), lower(host)], list_sort(list_distinct(
- list_filter(list_concat(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+'), regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')), lambda x: strlen(x) >= 4)[1:2000]))), lambda x: trim(x) <> '')))[1:12] AS suggest_input FROM docs)"""
+ list_filter(list_concat(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+'), regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')), lambda x: strlen(x) >= 4)))), lambda x: trim(x) <> '')))[1:12] AS suggest_input FROM docs)"""
 
 
 def inputs(spark, d) -> DataFrame:
@@ -536,10 +537,10 @@ def json_props(spark, d):
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'patched' ELSE 'old' END AS version, 'x' AS name, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'keep' END AS note FROM customer")
 def json_merge(spark, d):
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     old = F.create_map(F.lit("version"), F.lit("old"), F.lit("name"), F.lit("x"), F.lit("note"), F.lit("keep"))
     patch = F.create_map(F.lit("version"), F.lit("patched"), F.lit("note"), F.lit(None).cast("string"))
-    merged = F.map_concat(old, F.when(F.col("c_custkey") % 2 == 0, patch).otherwise(F.create_map().cast("map<string,string>")))
+    given = F.when(F.col("c_custkey") % 2 == 0, patch).otherwise(F.create_map().cast("map<string,string>"))
+    merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(given, k)), given)
     return t.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), *[merged[k].alias(k) for k in ("version", "name", "note")])
 
 

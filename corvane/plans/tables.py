@@ -28,13 +28,13 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("id"), F.substring_index(text, "\n", 1).alias("title"), F.left(text, F.lit(220)).alias("snippet"), text.alias("body"), F.col("lang").alias("language"),
         host.alias("host"), url.alias("canonical_url"), F.concat(host, F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id")).alias("display_url"),
-        (now() - days(F.col("doc_id") % 120)).alias("fetched_at"), F.sha2(text.cast("binary"), 256).alias("content_hash"), F.lit("clearnet").alias("network"), F.lit(0.5).alias("site_authority"),
+        (now() - days(F.col("doc_id") % 120)).alias("fetched_at"), F.sha2(text.cast("binary"), 256).alias("content_hash"), F.lit("clearnet").alias("network"), F.when(F.col("doc_id") % 5 > 0, F.lit(0.3) + (F.col("doc_id") % 9) / F.lit(10.0)).alias("site_authority"),
     )
 
 
 DOCS = f"""docs AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, left(text, 220) AS snippet, text AS body, lang AS language, source || '.example.com' AS host,
  'https://' || source || '.example.com/' || lang || '/' || doc_id AS canonical_url, source || '.example.com/' || lang || '/' || doc_id AS display_url,
- TIMESTAMP '{NOW_TEXT}' - to_days((doc_id % 120)::INT) AS fetched_at, sha256(text) AS content_hash FROM documents)"""
+ TIMESTAMP '{NOW_TEXT}' - to_days((doc_id % 120)::INT) AS fetched_at, sha256(text) AS content_hash, CASE WHEN doc_id % 5 > 0 THEN 0.3::DOUBLE + (doc_id % 9) / 10.0::DOUBLE END AS site_authority FROM documents)"""
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

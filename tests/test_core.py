@@ -289,3 +289,18 @@ def test_an_offline_crawl_as_files(spark, tmp_path):
     assert batch.read_index(spark, f"{root}/index").count() == 1 and batch.read_index(spark, f"{root}/none").count() == 0
     (tmp_path / "array.json").write_text(json.dumps([{"id": "1"}, {"id": "2"}]))
     assert batch.read_index(spark, f"{root}/array.json").count() == 2
+
+
+def test_a_response_has_totals_and_stops_at_the_deepest_page(spark):
+    from corvane.plans import tables as t
+
+    docs = t.docs(spark, "/root/testdata/sf0.001")
+    page = se.respond(docs, se.SearchParams("the of", limit=5), t.now())
+    assert len(page["results"]) == 5 and page["next_offset"] == 5 < page["total"] and page["did_you_mean"] is None
+    scores = [r["score"] for r in page["results"]]
+    assert scores == sorted(scores, reverse=True)
+    last = se.respond(docs, se.SearchParams("the of", limit=20, offset=page["total"] - 3), t.now())
+    assert len(last["results"]) == 3 and last["next_offset"] is None
+    for p in (se.SearchParams("the", limit=20, offset=9990), se.SearchParams(" - ")):
+        assert se.respond(docs, p, t.now())["results"] == []
+    assert se.respond(docs, se.SearchParams("teh", offset=9999), t.now())["did_you_mean"] == "the"
