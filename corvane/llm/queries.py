@@ -52,7 +52,9 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mix")
     words = scratch.write(mixing.sized(table(spark, sf_dir, "documents")), "words")
-    return mixing.by_first_position(mixing.mix(table(spark, sf_dir, "documents"), words=words)).select("doc_id", "size", "source_size", "target", "taken", "positions", "words")
+    rows = mixing.by_first_position(mixing.mix(table(spark, sf_dir, "documents"), words=words))
+    first = F.round(F.try_element_at("positions", F.lit(1)), 9)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"), F.size("positions").cast("long").alias("repeats"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,16 +108,20 @@ SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS compon
     "op8_mixing": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, 't') AS key, len(regexp_extract_all(coalesce(text, ''), {WORD}))::BIGINT AS size,
         md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
-s AS (SELECT key, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS w FROM d GROUP BY key),
+s AS (SELECT key, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS w,
+        [-0.5::DOUBLE, 0, 0.5][(row_number() OVER (ORDER BY key) - 1) % 3 + 1] AS slope FROM d GROUP BY key),
 b AS (SELECT *, 3 * source_size AS cap FROM s),
 k AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE AS room, (sum(w) OVER () - coalesce(sum(w) OVER before, 0))::DOUBLE AS w_left
       FROM b WINDOW before AS (ORDER BY cap::DOUBLE / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 q AS (SELECT *, room / w_left AS level, cap <= room / w_left * w AS capped FROM k),
-g AS (SELECT key, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (arg_max(level, w_left) FILTER (WHERE NOT capped) OVER ()) * w END AS target FROM q),
-o AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY key ORDER BY place, doc_id NULLS FIRST, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+g AS (SELECT key, source_size, slope, CASE WHEN capped THEN cap::DOUBLE ELSE (arg_max(level, w_left) FILTER (WHERE NOT capped) OVER ()) * w END AS target FROM q),
+o AS (SELECT d.*, source_size, target, slope, coalesce(sum(size) OVER (PARTITION BY key ORDER BY place, doc_id NULLS FIRST, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
       FROM d JOIN g USING (key))
 SELECT doc_id, size, source_size, target,
-       (SELECT sum(greatest(0, least(size, floor(target + 0.5)::BIGINT - ahead - x.i * source_size))) FROM (SELECT unnest([0, 1, 2]) AS i) x)::BIGINT AS taken
+       (SELECT sum(greatest(0, least(size, floor(target + 0.5)::BIGINT - ahead - x.i * source_size))) FROM (SELECT unnest([0, 1, 2]) AS i) x)::BIGINT AS taken,
+       CASE WHEN size > 0 AND floor(target + 0.5)::BIGINT > ahead
+            THEN round(2 * (ahead::DOUBLE / target) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * (ahead::DOUBLE / target))), 9) END AS first_position,
+       (SELECT count(*) FROM (SELECT unnest([0, 1, 2]) AS i) x WHERE size > 0 AND floor(target + 0.5)::BIGINT - ahead - x.i * source_size > 0)::BIGINT AS repeats
 FROM o
 """,
     "op9_url_filters": rf"""
