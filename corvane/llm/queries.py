@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, fingerprints, jaccard, langid, mixing, packing, token_counts, token_files, toxicity, urlblock
-from .common import Scratch
+from . import cascade, fingerprints, jaccard, langid, media, mixing, packing, periodic, token_counts, token_files, toxicity, urlblock, whitening
+from .common import WORD as WORDS
+from .common import Scratch, id_crc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +68,37 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a wave file in content-defined chunks, and what its stored bytes say. Odd rows: see media.text_media."""
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of every usable embedding. Odd rows: see whitening.whiten."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents, chosen by a hash of the id, repeat a stretch of words to their end. A null id
+    hashes like empty text."""
+    hashed = docs.select("doc_id", "text", id_crc(F.col("doc_id")).alias("h")).withColumn("g", F.expr("h div 10"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORDS})"), F.lit(1)))
+    n = F.col("n")
+    placed = hashed.withColumn("words", words).withColumn("n", F.size("words")).withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    placed = placed.withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+    again = F.expr("concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p), CAST((n - a + p - 1) div p AS INT))))")
+    return placed.select("doc_id", F.when(n > 0, F.array_join(F.slice(again, F.lit(1), n), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, some of which repeat a stretch to their end. Odd rows: see periodic.collapse; a text without words
+    stays as it is."""
+    return periodic.digests(periodic.collapse(planted(table(spark, sf_dir, "documents"))), "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_packing, op3_quality_rules, op4_ngram_jaccard, op5_toxicity, op6_token_files, op7_fingerprints, op8_mixing, op9_url_filters, op10_token_counts)
+    for f in (op1_language_id, op2_packing, op3_quality_rules, op4_ngram_jaccard, op5_toxicity, op6_token_files, op7_fingerprints, op8_mixing, op9_url_filters, op10_token_counts, op11_media_chunks, op12_whitening, op13_periodic_runs)
 }
 
 WORD = "'[^\\x20\\x09-\\x0D]+'"
