@@ -47,24 +47,31 @@ FILTERED = se.SearchParams("the of", limit=20, lang="EN ", freshness_days=30)
 SITE = se.SearchParams("the", limit=20, site="https://src1.example.com/")
 
 
-def search_sql(p: se.SearchParams, where: str = "true", clauses: tuple[str, ...] = ("all", "phrase", "address"), final: str | None = None) -> str:
-    """The documented ranking formula as SQL."""
-    terms = ", ".join(f"'{x}'" for x in p.terms)
-    fields = " UNION ALL ".join(f"SELECT id, '{f}' AS field, regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM docs" for f in se.FIELDS)
-    boosts = "WHEN 'title' THEN 10.0 WHEN 'snippet' THEN 3.0 WHEN 'body' THEN 1.0"
-    phrase = " " + " ".join(p.terms)
-    hits = ", ".join(f"CASE WHEN contains(' ' || array_to_string(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+'), ' '), '{phrase}') THEN {b} ELSE 0.0 END" for f, b in (("title", "12.0"), ("snippet", "3.0")))
+def search_sql(p: se.SearchParams, where: str = "true", clauses: tuple[str, ...] = ("all", "phrase", "address"), final: str | None = None, docs: str = t.DOCS) -> str:
+    """The documented ranking formula as SQL. Query words are of a to z, so every other letter counts as one byte in a distance."""
+    fields = " UNION ALL ".join(f"SELECT id, '{f}' AS field, regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM docs" for f in ("title", "snippet", "body", "display_url"))
+    words, exact = p.words, p.words[:-1]
+    terms = ", ".join(f"('{x}')" for x in p.terms)
+    near = "CASE WHEN length(query_term) <= 2 THEN 0 WHEN length(query_term) <= 5 THEN 1 ELSE 2 END"
+    idf = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+    sat = "(tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)))"
+    chain = " ".join(f"JOIN tok t{i} ON t{i}.id = t0.id AND t{i}.field = t0.field AND t{i}.pos = t0.pos + {i}" for i in range(1, len(words)))
+    held = " AND ".join([f"t{i}.term = '{w}'" for i, w in enumerate(exact)] + ["EXISTS (SELECT 1 FROM pre WHERE pre.field = t0.field AND pre.term = t%d.term)" % len(exact)])
+    idfs = " + ".join([f"coalesce((SELECT {idf} FROM df JOIN stats USING (field) WHERE df.field = f.field AND term = '{w}'), 0)" for w in exact] + [f"(SELECT sum({idf}) FROM pre JOIN stats USING (field) WHERE pre.field = f.field)"])
     parts = {
-        "all": f"SELECT id, max(s) AS score FROM (SELECT id, field, count(*) AS k, sum(score) * CASE field {boosts} END AS s FROM scored WHERE field <> 'display_url' GROUP BY id, field) WHERE k = {len(p.terms)} GROUP BY id",
-        "phrase": f"SELECT id, score FROM (SELECT id, greatest({hits})::DOUBLE AS score FROM docs) WHERE score > 0",
-        "address": f"SELECT id, sum(score) * 0.5 AS score FROM scored WHERE field = 'display_url' GROUP BY id",
+        "all": f"""SELECT id, max(s * CASE field WHEN 'title' THEN 10.0 WHEN 'snippet' THEN 3.0 ELSE 1.0 END) AS score FROM (SELECT id, field, count(*) AS k, sum(s) AS s FROM (SELECT id, field, query_term, 0.99 * max(score) + 0.01 * sum(score) AS s FROM (
+        SELECT id, field, query_term, (1 - distance::DOUBLE / least(length(query_term), length(term))) * ln(1 + (n - top + 0.5) / (top + 0.5)) * {sat} AS score FROM posts JOIN ex USING (field, term) JOIN stats USING (field)) GROUP BY ALL) GROUP BY id, field) WHERE k = {len(p.terms)} GROUP BY id""",
+        "phrase": f"""SELECT id, max(score) AS score FROM (SELECT id, f.field, CASE f.field WHEN 'title' THEN 12.0 ELSE 3.0 END * ({idfs}) * {sat} AS score FROM (SELECT t0.id, t0.field, t0.dl, count(*) AS tf FROM tok t0 {chain} WHERE {held} GROUP BY ALL) f JOIN stats ON stats.field = f.field) GROUP BY id""",
+        "address": f"SELECT id, 0.5 * sum({idf} * {sat}) AS score FROM posts JOIN df USING (field, term) JOIN stats USING (field) WHERE field = 'display_url' AND term IN (SELECT query_term FROM q) GROUP BY id",
     }
     final = final or f"""SELECT id, round(score, 6) AS score, title, canonical_url, {sql_stamp('fetched_at')} AS fetched_at FROM ranked
         ORDER BY round(score, 6) DESC, ranked.fetched_at DESC, id LIMIT {p.limit} OFFSET {p.offset}"""
-    return f"""WITH {t.DOCS}, f AS ({fields}), stats AS (SELECT field, count(*) AS n, avg(len(tokens)) AS avgdl FROM f WHERE len(tokens) > 0 GROUP BY field),
-    posts AS (SELECT field, term, id, dl, count(*) AS tf FROM (SELECT id, field, len(tokens) AS dl, unnest(tokens) AS term FROM f) WHERE term IN ({terms}) GROUP BY ALL),
-    df AS (SELECT field, term, count(*) AS df FROM posts GROUP BY ALL),
-    scored AS (SELECT id, field, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM posts JOIN df USING (field, term) JOIN stats USING (field)),
+    return f"""WITH {docs}, f AS ({fields}), stats AS (SELECT field, count(*) AS n, avg(len(tokens)) AS avgdl FROM f WHERE len(tokens) > 0 GROUP BY field), q(query_term) AS (VALUES {terms}),
+    tok AS MATERIALIZED (SELECT id, field, len(tokens) AS dl, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM f),
+    posts AS MATERIALIZED (SELECT field, term, id, dl, count(*) AS tf FROM tok GROUP BY ALL), df AS MATERIALIZED (SELECT field, term, count(*) AS df FROM posts GROUP BY ALL),
+    close AS (SELECT field, query_term, term, df, damerau_levenshtein(query_term, regexp_replace(term, '[^a-z]', '?', 'g')) AS distance FROM df, q WHERE field IN ('title', 'snippet', 'body') AND abs(length(term) - length(query_term)) <= 2),
+    ex AS (SELECT *, max(df) OVER (PARTITION BY field, query_term) AS top FROM (SELECT *, row_number() OVER (PARTITION BY field, query_term ORDER BY distance, df DESC, term) AS r FROM close WHERE distance <= {near}) WHERE r <= 50),
+    pre AS (SELECT * FROM (SELECT field, term, df, row_number() OVER (PARTITION BY field ORDER BY term) AS r FROM df WHERE field IN ('title', 'snippet') AND starts_with(term, '{words[-1]}')) WHERE r <= 50),
     total AS (SELECT id, sum(score) AS text_score FROM ({' UNION ALL '.join(parts[c] for c in clauses)}) GROUP BY id),
     ranked AS (SELECT docs.*, text_score * 2.0 * coalesce(site_authority, 0.5) * exp(ln(0.3) / 60.0 * greatest(0.0, abs(epoch({NOW}) - epoch(fetched_at)) / 86400.0 - 7.0)) AS score FROM total JOIN docs USING (id) WHERE {where})
     {final}"""
@@ -76,43 +83,59 @@ def shown(top: DataFrame) -> DataFrame:
 
 @query(search_sql(QUERY))
 def search_topk(spark, d):
-    return shown(se.search(t.docs(spark, d), QUERY, t.now()))
+    return shown(se.search(t.index(spark, d), QUERY, t.now()))
 
 
 @query(search_sql(FILTERED, f"language = 'en' AND fetched_at >= {NOW} - to_days(30)"))
 def search_filtered(spark, d):
-    return shown(se.search(t.docs(spark, d), FILTERED, t.now()))
+    return shown(se.search(t.index(spark, d), FILTERED, t.now()))
 
 
 @query(search_sql(SITE, "(host = 'src1.example.com' OR host LIKE '%.src1.example.com' OR canonical_url LIKE '%src1.example.com%')", ("all",)))
 def search_site_filter(spark, d):
-    return shown(se.search(t.docs(spark, d), SITE, t.now(), ("all",)))
+    return shown(se.search(t.index(spark, d), SITE, t.now(), ("all",)))
 
 
 @query(search_sql(se.SearchParams("src3 en", limit=20), clauses=("address",)))
 def search_display_url(spark, d):
-    return shown(se.search(t.docs(spark, d), se.SearchParams("src3 en", limit=20), t.now(), ("address",)))
+    return shown(se.search(t.index(spark, d), se.SearchParams("src3 en", limit=20), t.now(), ("address",)))
 
 
 @query(search_sql(se.SearchParams("of th", limit=20), clauses=("phrase",)))
 def search_phrase_prefix(spark, d):
-    return shown(se.search(t.docs(spark, d), se.SearchParams("of th", limit=20), t.now(), ("phrase",)))
+    return shown(se.search(t.index(spark, d), se.SearchParams("of th", limit=20), t.now(), ("phrase",)))
 
 
 @query(search_sql(QUERY, final="SELECT least(count(*), 10000)::BIGINT AS total FROM ranked"))
 def search_total(spark, d):
-    return se.scored_documents(t.docs(spark, d), QUERY, t.now()).agg(F.least(F.count("*"), F.lit(10_000)).alias("total"))
+    return se.scored_documents(t.index(spark, d), QUERY, t.now()).agg(F.least(F.count("*"), F.lit(10_000)).alias("total"))
 
 
-@query(f"""WITH {t.DOCS}, q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:3])) AS term FROM benchmark),
+UPDATED_DOCS = t.DOCS.replace("docs AS", "old AS", 1) + ", " + t.UPDATED
+
+
+@query(search_sql(se.SearchParams("src2 of the", limit=20), docs=UPDATED_DOCS))
+def search_updated(spark, d):
+    """A search in the index after deletions and replacements."""
+    return shown(se.search(t.updated_index(spark, d), se.SearchParams("src2 of the", limit=20), t.now()))
+
+
+@query(f"""WITH {UPDATED_DOCS}, f AS ({' UNION ALL '.join(f"SELECT id, '{f}' AS field, unnest(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+')) AS term FROM docs" for f in ("title", "snippet", "body", "display_url"))})
+ SELECT field, term, count(DISTINCT id)::BIGINT AS df FROM f GROUP BY ALL""")
+def index_updates(spark, d):
+    """What the index counts after deletions and replacements."""
+    return t.updated_index(spark, d).frequencies().select("field", "term", "df")
+
+
+@query(f"""WITH {t.DOCS}, q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM benchmark),
  n AS (SELECT item_id, count(*) AS k FROM q GROUP BY 1), p AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM docs)
  SELECT item_id, count(*)::BIGINT AS hits FROM (SELECT item_id, id, count(*) AS c FROM q JOIN p USING (term) GROUP BY ALL) JOIN n USING (item_id) WHERE c = k GROUP BY item_id""")
 def search_batch(spark, d):
-    """Many queries in one plan: how many documents hold all of the first three words of each benchmark item."""
-    q = t.read(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 3))).alias("term"))
+    """Many queries in one plan: how many documents hold all words of each benchmark item in their body."""
+    index = t.index(spark, d)
+    q = t.read(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
     sizes = q.groupBy("item_id").agg(F.count("*").alias("k"))
-    posts = se.postings(t.docs(spark, d), fields=("body",)).select("id", "term").join(q.select("term").distinct(), "term", "left_semi")
-    hits = posts.join(q, "term").groupBy("item_id", "id").agg(F.count("*").alias("c"))
+    hits = index.of_queries(q).where("field = 'body'").groupBy("item_id", "id").agg(F.count("*").alias("c"))
     return hits.join(sizes, "item_id").where("c = k").groupBy("item_id").agg(F.count("*").alias("hits"))
 
 
@@ -145,16 +168,16 @@ def suggest_prefix(spark, d):
     return se.suggest(inputs(spark, d), " An")
 
 
-@query("""WITH q AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '\\S+')[1:3], ' ') || ' teh  Serach' AS q FROM documents)
+@query("""WITH q AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '\\S+'), ' ') || ' teh  Serach' AS q FROM documents)
  SELECT doc_id, array_to_string(list_transform(regexp_extract_all(q, '\\S+'), lambda w: CASE lower(w) WHEN 'teh' THEN 'the' WHEN 'serach' THEN 'search' ELSE w END), ' ') AS suggestion FROM q""")
 def spell_correct(spark, d):
-    q = F.concat(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1), 1, 3), " "), F.lit(" teh  Serach"))
+    q = F.concat(F.array_join(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1), " "), F.lit(" teh  Serach"))
     return t.read(spark, d, "documents").select("doc_id", tx.correct_spelling(q).alias("suggestion"))
 
 
-@query("SELECT doc_id, regexp_replace(left(text, 220), '(?i)(tion|the)', '<mark>\\1</mark>', 'g') AS marked FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '(?i)(tion|the)', '<mark>\\1</mark>', 'g') AS marked FROM documents")
 def highlight(spark, d):
-    return t.read(spark, d, "documents").select("doc_id", tx.highlight(F.left("text", F.lit(220)), "the tion").alias("marked"))
+    return t.read(spark, d, "documents").select("doc_id", tx.highlight(F.col("text"), "the tion").alias("marked"))
 
 
 @query(f"WITH {t.DOCS} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS tf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM docs) GROUP BY ALL) GROUP BY term")

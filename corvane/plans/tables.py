@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.index import SearchIndex
+from ..operators.manifest import shared_dir
+
 #: Every query takes the present as an argument; this is the one the registered queries use.
 NOW_TEXT = "2024-01-31 00:00:00"
 
@@ -37,6 +42,48 @@ DOCS = f"""docs AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title,
  TIMESTAMP '{NOW_TEXT}' - to_days((doc_id % 120)::INT) AS fetched_at, sha256(text) AS content_hash, CASE WHEN doc_id % 5 > 0 THEN 0.3::DOUBLE + (doc_id % 9) / 10.0::DOUBLE END AS site_authority FROM documents)"""
 
 
+#: Indexes of this application, by kind, folder and what the files were when they were read.
+INDEXES: dict[tuple, SearchIndex] = {}
+
+
+def kept_index(spark: SparkSession, sf_dir: str, kind: str, make) -> SearchIndex:
+    """An index that is made when the files are new and read again by later searches."""
+    state = []
+    for name in ("documents", "labels"):
+        files = read(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        state.append(files.agg(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()[0])
+    key = (spark.sparkContext.applicationId, kind, sf_dir, *state)
+    if key not in INDEXES:
+        found = SearchIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=16)
+        make(found)
+        INDEXES[key] = found
+    return INDEXES[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of docs()."""
+    return kept_index(spark, sf_dir, "plain", lambda x: x.rebuild(docs(spark, sf_dir)))
+
+
+def updated_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The same after documents labelled toxic were deleted, and those of low quality indexed anew with host and language as their
+    title."""
+    labels = read(spark, sf_dir, "labels").where("doc_id IS NOT NULL")
+    toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    poor = labels.where("quality = 0").select(F.col("doc_id").alias("id")).distinct().join(toxic, "id", "left_anti")
+
+    def make(x: SearchIndex) -> None:
+        x.rebuild(docs(spark, sf_dir))
+        x.delete(toxic)
+        x.add(docs(spark, sf_dir).join(poor, "id", "left_semi").withColumn("title", F.concat("host", F.lit(" "), "language")))
+
+    return kept_index(spark, sf_dir, "updated", make)
+
+
+UPDATED = """docs AS (SELECT * REPLACE (CASE WHEN id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN host || ' ' || language ELSE title END AS title) FROM old
+ WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))"""
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "queued").otherwise("claimed")
