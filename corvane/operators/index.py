@@ -11,7 +11,8 @@ and words it needs, so the partition filter and the row groups' statistics leave
 
 An insertion or deletion writes a segment of its own and the next manifest; a document's row counts if no later segment deletes
 it. Document numbers and field lengths are sums in the manifest, and counts add up, so both are exact without a look at the
-documents. Compaction makes one segment of all, bucket by bucket.
+documents. An insertion shuffles no postings: each task writes those of its documents into their buckets. Compaction makes one
+segment of all, a share of the buckets at a time, in a few files for each; it is what keeps the number of files down.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ POSITIONAL = ("title", "snippet", "display_url")
 PREFIX, DELETIONS = 7, 2
 
 
+#: Jobs in which compaction rewrites the buckets of postings, one after the other.
+PASSES = 4
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def bucket(c: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(buckets)).cast("int")
 
@@ -192,7 +198,9 @@ class SearchIndex:
             return 0
         after, said, name = self.manifest.number(), self._said(), self._name()
         self.documents().write.option("compression", "zstd").parquet(f"{self.root}/documents/segment={name}")
-        self._write("postings", name, self._live(self.table("postings")).drop("segment"), "term", "field", "id")
+        for part in range(PASSES):  # so that what is shuffled at a time is a share of the postings
+            some = self._live(self.table("postings").where(F.col("bucket").isin(*range(part, self.buckets, PASSES)))).drop("segment")
+            self._write("postings", name, some, "term", "field", "id", mode="append")
         counts = self.frequencies().select("term", "field", F.col("df").alias("n"), bucket(F.col("term"), self.buckets).alias("bucket"))
         self._write("counts", name, counts, "term")
         living = self.table("counts").groupBy("term").agg(F.sum("n").alias("n")).where("n > 0")
@@ -206,11 +214,16 @@ class SearchIndex:
     def _name(self) -> str:
         return f"s{self.manifest.number() + 1:08d}-{uuid.uuid4().hex}"  # names sort in the order of writing
 
-    def _write(self, table: str, name: str, rows: DataFrame, *order: str) -> DataFrame:
-        """Rows with a bucket, spread over buckets and salts and sorted inside."""
+    def _write(self, table: str, name: str, rows: DataFrame, *order: str, mode: str = "error") -> DataFrame:
+        """Rows with a bucket, spread over buckets and salts and sorted inside. Shuffle files go once the table is written."""
         path = f"{self.root}/{table}/segment={name}"
         salt = F.pmod(F.xxhash64(*[c for c in ("id", "term") if c in rows.columns]), F.lit(self.salts)) if "id" in rows.columns else F.lit(0)
-        rows.repartition(self._width(), "bucket", salt).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEAN, "false")
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            rows.repartition(self._width(), "bucket", salt).sortWithinPartitions("bucket", *order).write.mode(mode).partitionBy("bucket").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def _write_neighbours(self, name: str, terms: DataFrame) -> None:
@@ -229,7 +242,10 @@ class SearchIndex:
             new = self.spark.read.schema(docs.schema).parquet(f"{self.root}/documents/segment={name}")
             if not new.groupBy("id").count().where("id IS NULL OR count > 1").isEmpty():
                 raise ValueError("ids of documents to index must be unique and not null")
-            posts = self._write("postings", name, occurrences(new).withColumn("bucket", bucket(F.col("term"), self.buckets)), "term", "field", "id")
+            path = f"{self.root}/postings/segment={name}"
+            posts = occurrences(new).withColumn("bucket", bucket(F.col("term"), self.buckets))
+            posts.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+            posts = self.spark.read.schema(posts.schema).parquet(path)
             counts.append(posts.groupBy("bucket", "term", "field").agg(F.count("*").alias("n")))
             signed.append((1, new))
             said |= {"filled": [*said["filled"], name]}
