@@ -32,7 +32,7 @@ FIELDS = ("title", "snippet", "body", "display_url")
 #: Fields whose positions are kept, as phrases are looked for in them.
 POSITIONAL = ("title", "snippet", "display_url")
 #: Letters of a term in which deletions are tried, and how many of them.
-PREFIX, DELETIONS = 7, 2
+PREFIX, DELETIONS = 6, 2
 
 
 #: Jobs in which compaction rewrites the buckets of postings, one after the other.
@@ -228,7 +228,8 @@ class SearchIndex:
 
     def _write_neighbours(self, name: str, terms: DataFrame) -> None:
         near = with_variants(terms.select("term").repartition(self._width(), "term").distinct(), "term")
-        self._write("neighbours", name, near.withColumn("bucket", bucket(F.col("variant"), self.buckets)), "variant")
+        rows = near.withColumn("bucket", bucket(F.col("variant"), self.buckets)).sortWithinPartitions("bucket", "variant")
+        rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/neighbours/segment={name}")  # only the words are shuffled
 
     def _commit(self, docs: DataFrame | None, replaced: DataFrame | None, fresh: bool = False) -> int:
         after, name = self.manifest.number(), self._name()

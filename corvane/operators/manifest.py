@@ -31,7 +31,7 @@ class Manifest:
     the whole of it or the one before, and a writer that dies at any point leaves folders that no manifest names."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._read = spark, root.rstrip("/"), {}
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -49,7 +49,9 @@ class Manifest:
 
     def read(self, number: int | None = None) -> dict:
         number = number or self.number()
-        return json.loads(self.spark.read.text(self._file(number), wholetext=True).first()[0]) if number else {}
+        if number and number not in self._read:  # a manifest never changes
+            self._read[number] = self.spark.read.text(self._file(number), wholetext=True).first()[0]
+        return json.loads(self._read[number]) if number else {}
 
     def commit(self, content: dict, after: int) -> int:
         """Make `content` the manifest that follows number `after`; an error if another writer has made one meanwhile."""
@@ -58,6 +60,7 @@ class Manifest:
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
         new = self._path(self._file(after + 1))
+        self._read.pop(after + 1, None)
         if self.number() != after or not self._fs.rename(draft, new):
             raise RuntimeError(f"another writer has made manifest {after + 1} of {self.root}")
         return after + 1
@@ -68,6 +71,7 @@ class Manifest:
         said = [self.read(n) for n in old]
         for n in old:
             self.drop(self._file(n))
+            self._read.pop(n, None)
         return said
 
     def drop(self, path: str) -> None:

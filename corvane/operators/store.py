@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,10 +49,10 @@ class Tables:
     def touched(self, name: str, keys: DataFrame) -> list[int]:
         return sorted(r[0] for r in keys.select(self.bucket(name)).distinct().collect())  # as many as there are buckets at most
 
-    def read(self, name: str, near: DataFrame | None = None) -> DataFrame:
-        """The rows of a table; with `near`, those of the buckets in which its keys would lie."""
+    def read(self, name: str, near: DataFrame | None = None, at: list[int] | None = None) -> DataFrame:
+        """The rows of a table; with `near`, those of the buckets in which its keys would lie; with `at`, of some buckets."""
         held = self.manifest.read().get("tables", {}).get(name, {})
-        wanted = None if near is None else set(self.touched(name, near))
+        wanted = set(self.touched(name, near)) if near is not None and held else at
         paths = [f"{self.root}/{name}/{f}/bucket={b}" for b, folders in held.items() if wanted is None or int(b) in wanted for f in folders]
         return self.spark.read.schema(self.tables[name].columns).parquet(*paths) if paths else self.spark.createDataFrame([], self.tables[name].columns)
 
@@ -66,29 +67,31 @@ class Tables:
         after = self.manifest.number()
         said = self.manifest.read(after)
         tables = {n: dict(b) for n, b in said.get("tables", {}).items()}
-        for name, change in changes.items():
-            key, folder = list(self.tables[name].key), uuid.uuid4().hex
-            names = [f.name for f in self.spark.createDataFrame([], self.tables[name].columns).schema]
-            rows = change.rows.select(*names) if change.rows is not None else self.spark.createDataFrame([], self.tables[name].columns)
-            if key:
-                keys = rows.select(*key)
-                keys = (keys if change.gone is None else keys.unionByName(change.gone.select(*key))).distinct()
-                old = self.read(name, near=keys).join(keys, key, "left_anti")
-                at = self.touched(name, keys)
-                rows = old.unionByName(rows)
-            out = rows.withColumn("bucket", self.bucket(name))
-            (out.repartition("bucket") if key else out).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{name}/{folder}")
-            made = {int(f.removeprefix("bucket=")) for f in self.manifest.folders(f"{self.root}/{name}/{folder}") if f.startswith("bucket=")}
-            held = tables.setdefault(name, {})
-            if key:
-                held.update({str(b): [folder] if b in made else [] for b in at})
-            else:
-                held.update({str(b): [*held.get(str(b), []), folder] for b in made})
+        with ThreadPoolExecutor(4) as pool:  # the tables' jobs are small and independent
+            for name, held in zip(changes, pool.map(lambda x: self._write(*x), changes.items())):
+                was = tables.setdefault(name, {})
+                was.update(held if self.tables[name].key else {b: [*was.get(b, []), *f] for b, f in held.items()})
         number = self.manifest.commit({"tables": tables, "note": said.get("note", {}) | (note or {}), "buckets": self.buckets}, after)
         self.manifest.forget()
         self._sweep()
         return number
 
+    def _write(self, name: str, change: Change) -> dict[str, list[str]]:
+        """Write the buckets that a change touches; which folder holds each now."""
+        key, folder, columns = list(self.tables[name].key), uuid.uuid4().hex, self.tables[name].columns
+        rows = change.rows if change.rows is not None else self.spark.createDataFrame([], columns)
+        rows = rows.select(*[f.name for f in self.spark.createDataFrame([], columns).schema])
+        touched = []
+        if key:
+            keys = rows.select(*key)
+            keys = (keys if change.gone is None else keys.unionByName(change.gone.select(*key))).distinct()
+            touched = self.touched(name, keys)
+            rows = self.read(name, at=touched).join(keys, key, "left_anti").unionByName(rows)
+        out = rows.withColumn("bucket", self.bucket(name))
+        (out.repartition("bucket") if key else out).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{name}/{folder}")
+        made = {f.removeprefix("bucket=") for f in self.manifest.folders(f"{self.root}/{name}/{folder}") if f.startswith("bucket=")}
+        return {str(b): [folder] if str(b) in made else [] for b in touched} if key else {b: [folder] for b in made}
+
     def _sweep(self) -> None:
         """Drop what neither of the last two manifests names. Nothing but a writer that failed, or staging, leaves such folders."""
         kept = [self.manifest.read(n)["tables"] for n in self.manifest.numbers()]
