@@ -98,11 +98,12 @@ def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def bounded_sample(docs: DataFrame, share: Column | float, most: int, seed: int) -> list:
-    """Rows chosen by a hash of doc_id and text, about `share` of them, `most` at most. Rows that repeat an id but not its text, null
+    """Rows chosen by a hash of doc_id and text, about `share` of them, `most` at most, those of the least hash, so
+    that the order of the files decides nothing. Rows that repeat an id but not its text, null
     ids among them, fall on either side like others; rows that repeat both are chosen together, and `most` bounds them."""
-    at = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1_000_000))
+    hashed = F.xxhash64("doc_id", "text", F.lit(seed))
     share = F.lit(int(1e6 * min(1.0, share))) if isinstance(share, (int, float)) else share
-    return docs.where(at < share).limit(most).collect()
+    return docs.where(F.pmod(hashed, F.lit(1_000_000)) < share).orderBy(hashed, "doc_id").limit(most).collect()
 
 
 def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -3,11 +3,11 @@ ordinary text, and thresholds on how much shorter the toxic dictionary makes the
 
 Both dictionaries begin with the same two parts: one that zstandard trains on windows of ordinary documents, one that it trains
 on hard ordinary windows, those that a first pair of dictionaries took for toxic though they hold nothing that toxic documents
-have in excess. The toxic dictionary ends in stretches of toxic documents: byte spans, within words or across them, whose
-document frequency exceeds the ordinary one significantly (after a correction for the number of spans tested, and not just
-because they lie across a stronger span), the most frequent last. The ordinary one ends in as many bytes of its hard part.
+have in excess. The toxic dictionary ends in what zstandard trains on the telling words of toxic documents: one-word windows with a
+byte span whose document frequency exceeds the ordinary one significantly (after a correction for the number of spans
+tested, and not just because it lies across a stronger span). The ordinary one ends in as many bytes of its hard part.
 Equal lengths, equal parameters and equal offsets of what is common leave a difference of the compressed lengths where a window
-holds such a stretch.
+holds such words.
 
 Every byte stands twice in what is compressed, the second time in an alphabet that tells its place in the word (the first PLACES
 bytes each have one, all later ones another). A match costs some 3 bytes, whatever its length, so it pays for a stretch of 5
@@ -47,6 +47,8 @@ class Params:
     body_bytes: int = 1500
     dict_bytes: int = 1500
     span_bytes: int = 6
+    #: Bytes of the doubled text that zstandard takes into the toxic dictionary at a time.
+    segment: int = 32
     #: Shortest match, in bytes of the doubled text.
     min_match: int = 6
     #: Chance that any span at all passes although the labels have nothing to do with it.
@@ -148,29 +150,12 @@ class Excess:
                 at = self.ratio[s]
                 side[np.unique(s[(at > 0) & (at >= self.around(at))])] += 1
         self.kept = ratios(alone) > 0
-        self.texts = texts[0]
 
     def around(self, at: np.ndarray) -> np.ndarray:
         """At each place the largest value of the spans that overlap the one there."""
         wide = np.pad(at, self.size - 1)
         return np.max([wide[i : i + len(at)] for i in range(2 * self.size - 1)], axis=0) if len(at) else at
 
-    def stretches(self) -> list[bytes]:
-        """Every stretch of a doubled toxic document that a kept span, or one it overlaps that is at least half as strong, covers."""
-        out = []
-        for t in self.texts:
-            s = spans(t, self.size)
-            at = self.ratio[s]
-            best = self.around(at)
-            seed = self.kept[s] & (at >= best)
-            ok = seed | (self.around(seed.astype(np.float32)) > 0) & (at > 0) & (2 * at >= best)
-            covered = np.zeros(len(t) // 2 + 1, bool)
-            for i in range(self.size):
-                covered[i : i + len(ok)] |= ok
-            edges = np.flatnonzero(np.diff(covered, prepend=False))
-            out += [t[2 * x : 2 * y] for x, y in zip(edges[::2].tolist(), edges[1::2].tolist())]
-        return out
-
     def holds(self, window: bytes) -> bool:
         """Whether a doubled window has a kept span."""
         return bool(self.kept[spans(window, self.size)].any())
@@ -189,10 +174,10 @@ def dictionaries(toxic: list[str], ordinary: list[str], params: Params) -> tuple
     """The toxic and the ordinary dictionary, of equal length."""
     every = [w for t in ordinary for w in windows(t, params.window_words)]
     body = trained(2 * params.body_bytes, every, params.train_windows)
-    found, part = Excess(toxic, ordinary, params), b""
-    for run, _ in Counter(found.stretches()).most_common():
-        if run not in part and len(part) + len(run) < 2 * params.dict_bytes:
-            part = run + part
+    found = Excess(toxic, ordinary, params)
+    words = [w for t in without_copies(toxic) for w in windows(t, 1)]
+    telling = {w for w in set(words) if found.holds(w)}
+    part = trained(2 * params.dict_bytes, [w for w in words if w in telling], params.train_windows, k=params.segment, d=6)[-2 * params.dict_bytes :] if telling else b""
     filler = (body * (len(part) // max(1, len(body)) + 1))[: len(part)].ljust(len(part), b" ")
     some, hard = every[:: max(1, len(every) // params.train_windows)], []
     for _ in range(params.hard_rounds if part else 0):
