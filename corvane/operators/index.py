@@ -32,7 +32,7 @@ FIELDS = ("title", "snippet", "body", "display_url")
 #: Fields whose positions are kept, as phrases are looked for in them.
 POSITIONAL = ("title", "snippet", "display_url")
 #: Letters of a term in which deletions are tried, and how many of them.
-PREFIX, DELETIONS = 6, 2
+PREFIX, DELETIONS = 5, 2
 
 
 #: Jobs in which compaction rewrites the buckets of postings, one after the other.
@@ -248,25 +248,26 @@ class SearchIndex:
             posts.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
             posts = self.spark.read.schema(posts.schema).parquet(path)
             counts.append(posts.groupBy("bucket", "term", "field").agg(F.count("*").alias("n")))
-            signed.append((1, new))
+            signed.append((1, new.count(), posts))
             said |= {"filled": [*said["filled"], name]}
         if replaced is not None:
             ids = replaced.distinct()
             ids.write.parquet(f"{self.root}/deleted/segment={name}")
             ids = self.spark.read.schema(ids.schema).parquet(f"{self.root}/deleted/segment={name}")
             gone = self.documents().join(ids, "id", "left_semi")
-            lost = occurrences(gone).groupBy("term", "field").agg((-F.count("*")).alias("n"))
+            words = occurrences(gone)
+            lost = words.groupBy("term", "field").agg((-F.count("*")).alias("n"))
             counts.append(lost.select(bucket(F.col("term"), self.buckets).alias("bucket"), "term", "field", "n"))
-            signed.append((-1, gone))
+            signed.append((-1, gone.count(), words))
             said |= {"deleting": [*said["deleting"], name]}
         both = counts[0] if len(counts) == 1 else counts[0].unionByName(counts[1]).groupBy("bucket", "term", "field").agg(F.sum("n").alias("n"))
         written = self._write("counts", name, both.select("term", "field", "n", "bucket"), "term")
         self._write_neighbours(name, written.where("n > 0"))
-        for sign, rows in signed:
-            sizes = rows.agg(F.count("*").alias("n"), *[x for f in FIELDS for x in (F.count_if(F.size(tx.tokens(F.col(f))) > 0).alias(f"n_{f}"), F.sum(F.greatest(F.size(tx.tokens(F.col(f))), F.lit(0))).alias(f"s_{f}"))]).first()
-            said["documents"] += sign * sizes["n"]
-            for f in FIELDS:
-                said["fields"][f] = [said["fields"][f][0] + sign * sizes[f"n_{f}"], said["fields"][f][1] + sign * (sizes[f"s_{f}"] or 0)]
+        for sign, n, posts in signed:
+            said["documents"] += sign * n
+            # a field's words share its length, so their parts of it add up to one for each document (rounded: sums of doubles)
+            for r in posts.groupBy("field").agg(F.round(F.sum(F.col("tf") / F.col("dl"))).cast("long").alias("n"), F.sum("tf").alias("s")).collect():  # a row a field
+                said["fields"][r["field"]] = [said["fields"][r["field"]][0] + sign * r["n"], said["fields"][r["field"]][1] + sign * r["s"]]
         return self._flip(said | {"segments": [*said["segments"], name]}, after)
 
     def _flip(self, said: dict, after: int) -> int:

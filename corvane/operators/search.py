@@ -82,7 +82,7 @@ def expansions(index: SearchIndex, terms: list[str], most: int = MOST_EXPANSIONS
     first, then the most frequent. They come from the buckets of the words' variants."""
     spark, sides = index.spark, [(t, v) for t in terms for v in variants(t, allowed_edits(t))]
     near = index.of_terms("neighbours", [v for _, v in sides], "variant").select("variant", "term")
-    near = near.join(F.broadcast(spark.createDataFrame(sides, "query_term string, variant string")), "variant")  # 22 variants a word at most
+    near = near.join(F.broadcast(spark.createDataFrame(sides, "query_term string, variant string")), "variant")  # 16 variants a word at most
     close = within(near.select("query_term", "term").distinct()).withColumn("bucket", bucket(F.col("term"), index.buckets))
     counts = index.table("counts").join(close, ["bucket", "term"]).groupBy("field", "query_term", "term", "distance").agg(F.sum("n").alias("df")).where("df > 0")
     order = Window.partitionBy("field", "query_term").orderBy("distance", F.col("df").desc(), "term")

@@ -47,9 +47,16 @@ def project(batch: DataFrame, documents: Snapshots, jobs: Snapshots, quarantine:
         seen = c.where(F.col("outcome").isin("succeeded", "gone")).select(
             F.sha2("final_url", 256).alias("id"), F.col("final_url").alias("canonical_url"), "title", "body", "fetched_at", F.sha2("body", 256).alias("content_hash"), (F.col("outcome") == "gone").alias("gone")
         )
+        # when a document went is kept beside the documents and written first, so that no older report brings it back
+        graves = Snapshots(spark, f"{documents.root}-gone")
+        dead = c.where("outcome = 'gone'").select(F.sha2("final_url", 256).alias("id"), "fetched_at")
+        dead = latest(graves.read().unionByName(dead) if graves.version() else dead, "id", "fetched_at")
+        graves.write(dead)
+        seen = seen.where("not gone").drop("gone")
         if documents.version():
-            seen = documents.read().drop("duplicate_of").withColumn("gone", F.lit(False)).unionByName(seen)
-        documents.write(mark_duplicates(latest(seen, "id", "fetched_at", "gone").where("not gone").drop("gone")))
+            seen = documents.read().drop("duplicate_of").unionByName(seen)
+        last = latest(seen, "id", "fetched_at", "content_hash").join(graves.read().withColumnRenamed("fetched_at", "_gone"), "id", "left")
+        documents.write(mark_duplicates(last.where("_gone IS NULL OR fetched_at > _gone").drop("_gone")))
     finally:
         batch.unpersist()
 

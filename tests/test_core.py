@@ -304,3 +304,16 @@ def test_a_response_has_totals_and_stops_at_the_deepest_page(spark):
     for p in (se.SearchParams("the", limit=20, offset=9990), se.SearchParams(" - ")):
         assert se.respond(docs, p, t.now())["results"] == []
     assert se.respond(docs, se.SearchParams("teh", offset=9999), t.now())["did_you_mean"] == "the"
+
+
+def test_a_late_report_does_not_bring_a_document_back(spark, tmp_path):
+    from corvane.streaming import ingest
+
+    body = " ".join(f"word{i}." if i % 9 == 0 else f"word{i}" for i in range(40))
+    row = {"url": "https://e.com/", "final_url": "https://e.com/", "title": "t", "attempt_count": 1, "max_attempts": 3}
+    docs, jobs = (dx.Snapshots(spark, f"file://{tmp_path}/{n}") for n in ("docs", "jobs"))
+    (tmp_path / "in").mkdir()
+    for n, (day, code) in enumerate(((1, 200), (5, 404), (3, 200), (6, 200))):
+        (tmp_path / f"in/{n}.json").write_text(json.dumps(row | {"lease_id": f"l{n}", "job_id": f"j{n}", "status_code": code, "fetched_at": f"2024-01-0{day} 00:00:00", "body": body if code == 200 else None}))
+        ingest.start_projector(spark, f"file://{tmp_path}/in", docs, jobs, f"file://{tmp_path}/ck").awaitTermination()
+        assert docs.read().count() == [1, 0, 0, 1][n]
