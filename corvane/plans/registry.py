@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..functions import urls
 from ..operators import documents as dx
 from ..operators import frontier as fr
+from ..operators import housekeeping as hk
 from ..operators import search as se
 from ..sources import rules as ru
 from ..sources import web
@@ -364,9 +365,9 @@ def domain_summary(spark, d):
     return mine.groupBy("host").agg(F.count("*").alias("documents"), F.count_if(F.col("fetched_at") >= t.now() - t.days(F.lit(7))).alias("week"), stamp(F.max("fetched_at")).alias("last"))
 
 
-@query("SELECT coalesce(nullif(lang, ''), 'unknown') AS label, count(*)::BIGINT AS n FROM documents GROUP BY 1 ORDER BY n DESC, label LIMIT 5")
+@query("SELECT coalesce(nullif(lang, ''), 'unknown') AS label, count(*)::BIGINT AS n FROM documents GROUP BY lang ORDER BY n DESC, nullif(lang, '') ASC NULLS LAST LIMIT 5")
 def facet_language(spark, d):
-    return t.read(spark, d, "documents").groupBy(F.coalesce(F.nullif("lang", F.lit("")), F.lit("unknown")).alias("label")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label").limit(5)
+    return hk.facet(t.read(spark, d, "documents").select("lang", F.lit(None).alias("duplicate_of")), "lang", 5)
 
 
 # ---- jobs and origins
