@@ -17,40 +17,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, by models of the rows that aren't held out. Null texts and texts without a letter: und."""
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs, learn=~langid.held_out()))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in windows of 2048 ids. Null text: its end id alone; repeated rows and null ids are rows like others."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's counts and the cascade's verdict. Null text: no words, so it fails."""
     return cascade.judge(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under links of 85 % of common 4-word shingles. Texts without words: alone; odd rows: see jaccard.near_duplicates."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), jaccard.Params(words=4, percent=85))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score and a label of every text, by a model of labelled rows that aren't held out. Odd rows: see toxicity.score."""
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as its files give them back. Null text: the end id alone; odd rows: see token_files."""
     path = Scratch(spark, "tokens").path("table")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path)
     return token_files.with_crc(token_files.read_token_files(spark, path))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited form. Odd rows: see fingerprints.fingerprint_edits."""
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, in training order. Odd rows: see mixing.mix."""
     scratch = Scratch(spark, "mix")
     words = scratch.write(mixing.sized(table(spark, sf_dir, "documents")), "words")
     rows = mixing.by_first_position(mixing.mix(table(spark, sf_dir, "documents"), words=words))
@@ -59,10 +67,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by rules and aliases. Null or odd addresses: empty host and path, allowed."""
     return urlblock.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's bytes and tokens. Null text: none; odd rows: see token_counts.count_tokens."""
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
