@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,24 @@ from pyspark.sql import functions as F
 from .manifest import Manifest
 
 
+#: Sizes up to which Spark sends a whole side of a join through the driver: it takes a file's compressed columns for the size of the rows.
+BROADCAST = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+@contextmanager
+def merged_joins(spark: SparkSession):
+    """Inside, both sides of every join are shuffled, so that what the driver gets doesn't grow with the tables. A batch has some 90
+    joins, each of which could be broadcast otherwise. It holds for what runs inside, not for what is only planned there."""
+    before = {k: spark.conf.get(k, None) for k in BROADCAST}
+    try:
+        for k in BROADCAST:
+            spark.conf.set(k, "-1")
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @dataclass(frozen=True)
 class Table:
     """columns as DDL; key: the columns that tell rows apart, by which they lie in buckets. A table without a key is only added to."""
@@ -47,7 +66,8 @@ class Tables:
         return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int") if key else F.lit(0)
 
     def touched(self, name: str, keys: DataFrame) -> list[int]:
-        return sorted(r[0] for r in keys.select(self.bucket(name)).distinct().collect())  # as many as there are buckets at most
+        with merged_joins(self.spark):
+            return sorted(r[0] for r in keys.select(self.bucket(name)).distinct().collect())  # as many as there are buckets at most
 
     def read(self, name: str, near: DataFrame | None = None, at: list[int] | None = None) -> DataFrame:
         """The rows of a table; with `near`, those of the buckets in which its keys would lie; with `at`, of some buckets."""
@@ -59,11 +79,16 @@ class Tables:
     def stage(self, rows: DataFrame) -> DataFrame:
         """Rows written once for all that is made from them; gone after the next commit."""
         path = f"{self.root}/staging/{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").parquet(path)
+        with merged_joins(self.spark):
+            rows.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def commit(self, changes: dict[str, Change], note: dict | None = None) -> int:
         """Make all changes at once. Keys of a change's rows must be unique; a key that is also gone stays with its new row."""
+        with merged_joins(self.spark):
+            return self._commit(changes, note)
+
+    def _commit(self, changes: dict[str, Change], note: dict | None) -> int:
         after = self.manifest.number()
         said = self.manifest.read(after)
         tables = {n: dict(b) for n, b in said.get("tables", {}).items()}

@@ -12,7 +12,7 @@ from ..functions import urls
 from ..operators import frontier as fr
 from ..operators import housekeeping as hk
 from ..operators.documents import filled, gate
-from ..operators.store import Change, Table, Tables, ranked
+from ..operators.store import Change, Table, Tables, merged_joins, ranked
 
 JOB = (
     "id string, owner string, url string, origin_key string, status string, lease_id string, claimed_at timestamp_ntz, attempt_count int, max_attempts int, depth int, max_depth int, "
@@ -268,7 +268,8 @@ def apply_reports(tables: Tables, reports: DataFrame, domains: DataFrame, now: C
         "jobs": Change(complete(job_rows(tables, c), "jobs").unionByName(new["jobs"].rows)), "budgets": new["budgets"], "origins": Change(complete(origins, "origins")), "links": Change(edges),
         "domains": Change(complete(domain_rows(tables, c), "domains")), "events": Change(events), **document_changes(tables, tables.stage(document_rows(c))),
     }
-    counts = {"applied": c.count(), "rejected": other.count()}
+    with merged_joins(tables.spark):
+        counts = {"applied": c.count(), "rejected": other.count()}
     tables.commit(changes, {batch[0]: batch[1]} if batch else None)
     return counts
 

@@ -263,3 +263,23 @@ def test_pages_that_share_an_address_have_a_row_each_as_in_sql(spark, tmp_path):
     c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     want = sorted(c.execute(registry.ORACLES["apply_documents"]).fetchall(), key=str)
     assert got == want and len(want) == 8 and any(r[2] for r in want)
+
+
+def plans(spark):
+    """What Spark has run so far, by number."""
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+
+def test_no_side_of_a_join_goes_through_the_driver(spark, tmp_path):
+    t = ap.open_tables(spark, f"file://{tmp_path}", buckets=2)
+    j = [new_job("o", f"https://e.com/{i}") for i in range(4)]
+    load(spark, t, j)
+    sizes = [spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")]
+    before = plans(spark)
+    for n in range(2):
+        r = [new_report(j[2 * n + i], i, body=BODY["ab"[i]], discovered_urls=["https://e.com/n"]) for i in range(2)]
+        ap.apply_reports(t, rows(spark, r, ap.REPORT), listed(spark, "bad.org"), now())
+    ran = {n: p for n, p in plans(spark).items() if n not in before}
+    assert sum("Join" in p for p in ran.values()) > 20 and not [p for p in ran.values() if "Broadcast" in p]
+    assert sizes == [spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")]
