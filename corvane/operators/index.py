@@ -21,7 +21,9 @@ import uuid
 import zlib
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,10 @@ FIELDS = ("title", "snippet", "body", "display_url")
 POSITIONAL = ("title", "snippet", "display_url")
 #: Letters of a term in which deletions are tried, and how many of them.
 PREFIX, DELETIONS = 5, 2
-
+#: Words whose postings a task sorts at a time.
+CHUNK = 2_000_000
+#: Bytes that a task may hold of each bucket's file.
+ROW_GROUP = 1 << 24
 
 #: Jobs in which compaction rewrites the buckets of postings, one after the other.
 PASSES = 4
@@ -80,28 +85,99 @@ def near_terms(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     return with_variants(vocabulary, "term").join(with_variants(words, "query_term"), "variant").select("query_term", "term").distinct()
 
 
-def occurrences(docs: DataFrame, fields: Iterable[str] = FIELDS) -> DataFrame:
-    """(term, field, id, tf, dl, positions) without a shuffle: the words of a field are sorted in their row, and each stretch of equal
-    ones is a posting."""
-    parts = None
-    for f in fields:
-        # each step has columns of its own: the optimizer must not put an array's making inside a lambda that runs for each element
-        words = docs.select("id", tx.tokens(F.col(f)).alias("w"))
-        dl = F.size("w").cast("long").alias("dl")
-        if f in POSITIONAL:
-            pairs = words.select("id", dl, F.sort_array(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("s"))
-            ordered = pairs.select("id", "dl", F.transform("s", lambda x: x["t"]).alias("t"), F.transform("s", lambda x: x["i"]).alias("i"))
-        else:
-            ordered = words.select("id", dl, F.sort_array("w").alias("t"), F.lit(None).cast("array<int>").alias("i"))
-        first = F.filter(F.sequence(F.lit(1), F.size("t")), lambda k: (k == 1) | (F.get("t", k - 1) != F.get("t", k - 2)))
-        begun = ordered.select("*", F.when(F.size("t") > 0, first).otherwise(F.array().cast("array<int>")).alias("b"))
-        ends = F.slice(F.concat(F.slice("b", F.lit(2), F.size("b")), F.array(F.size("t") + 1)), F.lit(1), F.size("b"))
-        runs = begun.select("id", "dl", "i", "b", F.transform("b", lambda at: F.get("t", at - 1)).alias("term"), F.zip_with("b", ends, lambda x, y: y - x).alias("tf"))
-        runs = runs.select("id", "dl", "term", "tf", F.zip_with("b", "tf", lambda at, n: F.slice("i", at, n)).alias("positions"))
-        each = runs.select("id", "dl", F.explode(F.arrays_zip("term", "tf", "positions")).alias("x"))
-        one = each.select("x.term", F.lit(f).alias("field"), "id", F.col("x.tf").cast("long").alias("tf"), "dl", "x.positions")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+def occurrences(docs: DataFrame, fields: Iterable[str] = FIELDS, buckets: int = 0) -> DataFrame:
+    """(term, field, id, tf, dl, positions) without a shuffle: Spark finds the words, and the postings of up to CHUNK of them at a time are
+    made by one sort of numbers that stand for word, field and document. With `buckets`, also the word's bucket, by which and the word
+    the postings of a chunk are sorted."""
+    fields, kind = tuple(fields), docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += sum(len(b.column(k).flatten()) for k in range(1, len(fields) + 1))
+            if size >= CHUNK:
+                yield from chunk_postings(held, fields, buckets)
+                held, size = [], 0
+        if size:
+            yield from chunk_postings(held, fields, buckets)
+
+    out = f"term string, field string, id {kind}, tf long, dl long, positions array<int>" + (", bucket int" if buckets else "")
+    return docs.select("id", *[tx.tokens(F.col(f)).alias(f) for f in fields]).mapInArrow(run, out)
+
+
+def in_order(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct words by bucket and bytes, and their buckets."""
+    keys = [w.encode() for w in words]
+    at = np.array([zlib.crc32(k) % buckets for k in keys] if buckets else [0] * len(keys), dtype=np.int64)
+    return np.array(sorted(range(len(keys)), key=lambda i: (at[i], keys[i])), dtype=np.int64), at
+
+
+def chunk_postings(held: list[pa.RecordBatch], fields: tuple[str, ...], buckets: int) -> Iterable[pa.RecordBatch]:
+    """The postings of some documents, each with a list of words for every field."""
+    docs = pa.Table.from_batches(held).combine_chunks()
+    n, columns = docs.num_rows, [docs.column(k + 1).chunk(0) for k in range(len(fields))]
+    sizes = np.concatenate([pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])  # of field 0's documents, field 1's, ...
+    coded = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
+    words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order, at = in_order(words.to_pylist(), buckets)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    place = np.repeat(np.arange(len(sizes)), sizes)
+    key = rank[codes] * len(sizes) + place
+    by = np.argsort(key, kind="stable")  # positions stay in order
+    key = key[by]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    tf, of = np.diff(np.r_[first, len(key)]), key[first] % len(sizes)
+    word, field = order[key[first] // len(sizes)], of // n
+    kept = np.isin(np.arange(len(fields)), [k for k, f in enumerate(fields) if f in POSITIONAL])
+    position = (np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[by]
+    ends = np.r_[0, np.cumsum(np.where(kept[field], tf, 0))].astype(np.int32)
+    positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(position[np.repeat(kept[field], tf)].astype(np.int32)), mask=pa.array(~kept[field]))
+    out = [words.take(pa.array(word)), pa.array(fields, pa.string()).take(pa.array(field)), docs.column(0).chunk(0).take(pa.array(of % n)), pa.array(tf.astype(np.int64)), pa.array(sizes[of]), positions]
+    names = ["term", "field", "id", "tf", "dl", "positions"]
+    if buckets:
+        out, names = [*out, pa.array(at[word].astype(np.int32))], [*names, "bucket"]
+    return pa.Table.from_arrays(out, names=names).to_batches(max_chunksize=65536)
+
+
+def neighbour_rows(words: DataFrame, buckets: int) -> DataFrame:
+    """(variant, term, bucket) of distinct words, sorted by bucket and variant in chunks. Words with the same first letters share their
+    variants, which are made once."""
+
+    def rows(terms):
+        begun, prefixes, of = {}, [], []
+        for t in terms:
+            k = (t[:PREFIX], DELETIONS if len(t) >= 4 else 1 if len(t) >= 2 else 0)
+            if k not in begun:
+                begun[k] = len(prefixes)
+                prefixes.append(list(variants(*k)))
+            of.append(begun[k])
+        flat = pa.array([v for p in prefixes for v in p], pa.string()).dictionary_encode()
+        order, at = in_order(flat.dictionary.to_pylist(), buckets)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        size = np.array([len(p) for p in prefixes], dtype=np.int64)
+        start, of = np.cumsum(size) - size, np.array(of, dtype=np.int64)
+        n = size[of]
+        term = np.repeat(np.arange(len(of)), n)
+        code = rank[flat.indices.to_numpy(zero_copy_only=False)[np.arange(len(term)) - np.repeat(np.cumsum(n) - n - start[of], n)]]
+        by = np.argsort(code, kind="stable")
+        variant = order[code[by]]
+        out = [flat.dictionary.take(pa.array(variant)), pa.array(terms, pa.string()).take(pa.array(term[by])), pa.array(at[variant].astype(np.int32))]
+        return pa.Table.from_arrays(out, names=["variant", "term", "bucket"]).to_batches(max_chunksize=65536)
+
+    def run(batches):
+        held = []
+        for b in batches:
+            held += b.column(0).to_pylist()
+            if len(held) >= CHUNK // 16:
+                yield from rows(held)
+                held = []
+        if held:
+            yield from rows(held)
+
+    return words.select("term").where("term IS NOT NULL").mapInArrow(run, "variant string, term string, bucket int")
 
 
 class SearchIndex:
@@ -227,9 +303,22 @@ class SearchIndex:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def _write_neighbours(self, name: str, terms: DataFrame) -> None:
-        near = with_variants(terms.select("term").repartition(self._width(), "term").distinct(), "term")
-        rows = near.withColumn("bucket", bucket(F.col("variant"), self.buckets)).sortWithinPartitions("bucket", "variant")
-        rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/neighbours/segment={name}")  # only the words are shuffled
+        rows = neighbour_rows(terms.select("term").repartition(self._width(), "term").distinct(), self.buckets)
+        self._write_sorted("neighbours", name, rows)  # only the words are shuffled
+
+    def _write_sorted(self, table: str, name: str, rows: DataFrame) -> str:
+        """Rows that come sorted from their tasks: each task keeps a file of every bucket open, so nothing is sorted or spilled."""
+        path = f"{self.root}/{table}/segment={name}"
+        set_to = {"spark.sql.maxConcurrentOutputFileWriters": str(self.buckets + 1), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000" if table == "postings" else "10000"}
+        before = {k: self.spark.conf.get(k) for k in set_to}
+        try:
+            for k, v in set_to.items():
+                self.spark.conf.set(k, v)
+            rows.write.partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
+        return path
 
     def _commit(self, docs: DataFrame | None, replaced: DataFrame | None, fresh: bool = False) -> int:
         after, name = self.manifest.number(), self._name()
@@ -243,10 +332,8 @@ class SearchIndex:
             new = self.spark.read.schema(docs.schema).parquet(f"{self.root}/documents/segment={name}")
             if not new.groupBy("id").count().where("id IS NULL OR count > 1").isEmpty():
                 raise ValueError("ids of documents to index must be unique and not null")
-            path = f"{self.root}/postings/segment={name}"
-            posts = occurrences(new).withColumn("bucket", bucket(F.col("term"), self.buckets))
-            posts.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
-            posts = self.spark.read.schema(posts.schema).parquet(path)
+            posts = occurrences(new, buckets=self.buckets)
+            posts = self.spark.read.schema(posts.schema).parquet(self._write_sorted("postings", name, posts))
             counts.append(posts.groupBy("bucket", "term", "field").agg(F.count("*").alias("n")))
             signed.append((1, new.count(), posts))
             said |= {"filled": [*said["filled"], name]}

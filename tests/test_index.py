@@ -149,3 +149,17 @@ def test_phrases_are_those_of_brute_force(spark, tmp_path, rows):
                     want[i] = max(want.get(i, 0), score)
         got = {r.id: r.score for r in se.phrase_prefix(index, words).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - s) < 1e-9 for i, s in want.items()), phrase
+
+
+def test_postings_and_neighbours_are_written_without_sorting_rows(spark, tmp_path, rows):
+    found = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = found().size()
+    index = SearchIndex(spark, f"file://{tmp_path}/a", buckets=4)
+    index.rebuild(frame(spark, rows.values()))
+    plans = [found().apply(i).physicalPlanDescription() for i in range(before, found().size())]
+    made = [p for p in plans if "MapInArrow" in p and "InsertIntoHadoopFsRelationCommand" in p]
+    assert len(made) == 2 and not [p for p in made if re.search(r"\bSort\b", p)]
+    for table, column in (("postings", "term"), ("neighbours", "variant")):  # what is looked up lies in order in its file
+        for file in (tmp_path / "a" / table).rglob("*.parquet"):
+            values = [r[0] for r in spark.read.parquet(f"file://{file}").select(column).coalesce(1).collect()]
+            assert values == sorted(values, key=str.encode)
