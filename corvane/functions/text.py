@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 
+# fixed values: the spaces of Unicode (category Zs)
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 # fixed values: spellings and their corrections
 CORRECTIONS = {
     "serach": "search", "seach": "search", "serch": "search", "documnet": "document", "docuemnt": "document", "teh": "the", "taht": "that", "wiht": "with",
@@ -28,6 +31,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
 
 
+def stripped(text: Column) -> Column:
+    """Without spaces at the ends, of whatever width; line breaks and tabs stay."""
+    return F.trim(text, F.lit(SPACES))
+
+
 def squeeze(text: Column) -> Column:
     """White space runs become one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -38,7 +46,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    """Words lie between spaces, tabs, line breaks and form feeds; a vertical tab is part of a word, as in SQL."""
+    return F.regexp_count(text, F.lit(r"[^ \t\n\f\r]+")).cast("long")
 
 
 def derive_terms(title: Column, body: Column) -> Column:

@@ -317,3 +317,25 @@ def test_a_late_report_does_not_bring_a_document_back(spark, tmp_path):
         (tmp_path / f"in/{n}.json").write_text(json.dumps(row | {"lease_id": f"l{n}", "job_id": f"j{n}", "status_code": code, "fetched_at": f"2024-01-0{day} 00:00:00", "body": body if code == 200 else None}))
         ingest.start_projector(spark, f"file://{tmp_path}/in", docs, jobs, f"file://{tmp_path}/ck").awaitTermination()
         assert docs.read().count() == [1, 0, 0, 1][n]
+
+
+def test_odd_documents_are_normalized_as_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from corvane.plans import registry
+
+    wide = "\u00a0"
+    texts = [None, "", " ", wide, "\nbody", f"{wide}title\u3000\nbody", " " * 230 + "far", "x" * 219 + wide + "tail", "x" * 219 + " tail", "a\x0bb c", f"a{wide}b c\r\nd", "y" * 8000 + " z"]
+    rows = [(n, x, "en", "src0") for n, x in enumerate(texts)] + [(None, "no id", "en", "src0"), (0, "id again", "en", "src0"), (0, "id again", "en", "src0")]
+    rows += [(100 + n, "\ntext", *x) for n, x in enumerate([(None, "src0"), ("en", None), ("", ""), (f" EN{wide}", " S0 "), ("İΣ", "u@h"), ("a?b=2&a=1&ref=x", "s:443"), ("f#g", "SRC")])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["doc_normalize"](spark, str(tmp_path)).collect()), key=str)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(c.execute(registry.ORACLES["doc_normalize"]).fetchall(), key=str) and len(got) == len(rows)
+
+
+def test_normalize_fills_what_is_missing_and_keeps_what_is_given(spark):
+    rows = [("http://E.com/a/", None, None, " ", " ", "  body"), ("u", "HTTP://E.com/b/", " h ", "t", " s ", "b"), ("ftp://x", None, None, None, None, " ")]
+    df = spark.createDataFrame([(n, *r, "EN", None, 7) for n, r in enumerate(rows)], "id int, url string, canonical_url string, host string, title string, snippet string, body string, language string, site_authority double, more int")
+    got = [(r.canonical_url, r.host, r.title, r.snippet, r.more) for r in dx.normalize(df).orderBy("id").collect()]
+    assert got == [("http://e.com/a", "e.com", "http://e.com/a", "body", 7), ("HTTP://E.com/b/", " h ", "t", "s", 7), ("ftp://x", None, "ftp://x", "", 7)]
